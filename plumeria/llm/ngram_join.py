@@ -14,7 +14,7 @@ Plan, with no collected state and no bound on partners:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -86,13 +86,18 @@ class Parts:
         return np.concatenate(sigs), np.concatenate(rows)
 
 
-def document_sets(docs: DataFrame, words: int) -> DataFrame:
+def word_shingles(words: int) -> Callable:
+    """Sets of distinct shingles of lower-cased words, for the join."""
+    return lambda col: shingle_sets(col, words)
+
+
+def document_sets(docs: DataFrame, sets: Callable) -> DataFrame:
     """doc_id, n_shingles and the set's two keys, for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, a, b = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
-            for i, j, g, o in shingle_sets(batch.column(1), words):
+            for i, j, g, o in sets(batch.column(1)):
                 n[i:j] = np.diff(o)
                 k1, k2 = set_keys(g, o)
                 a[i:j], b[i:j] = k1.view(np.int64), k2.view(np.int64)
@@ -101,7 +106,7 @@ def document_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, SETS)
 
 
-def coarse_edges(docs: DataFrame, words: int, percent: int, buckets: int) -> DataFrame:
+def coarse_edges(docs: DataFrame, sets: Callable, percent: int, buckets: int) -> DataFrame:
     """Edges (a, b) between sets, by their first key, that share a part's signature."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +123,7 @@ def coarse_edges(docs: DataFrame, words: int, percent: int, buckets: int) -> Dat
             return pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "data"])
 
         for batch in batches:
-            for _, _, g, o in shingle_sets(batch.column(0), words):
+            for _, _, g, o in sets(batch.column(0)):
                 k1, _ = set_keys(g, o)
                 fresh = np.array([bool(n) and k not in seen and not seen.add(k) for k, n in zip(k1.tolist(), np.diff(o).tolist(), strict=True)], bool)
                 if not fresh.any():
@@ -221,11 +226,11 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _search(words: int, percent: int):
+def _search(make: Callable, percent: int):
     """mapInPandas function over rows sorted by (cluster, i, j): links of each pair of blocks."""
 
     def sets_of(texts: list[str]) -> list[np.ndarray]:
-        return [g[o[r] : o[r + 1]] for i, j, g, o in shingle_sets(pa.array(texts, pa.string()), words) for r in range(j - i)]
+        return [g[o[r] : o[r + 1]] for i, j, g, o in make(pa.array(texts, pa.string())) for r in range(j - i)]
 
     def solve(part: pd.DataFrame) -> list[tuple]:
         own, ids, copies = part["blk"].to_numpy(), part["doc_id"].to_numpy(), part["copies"].to_numpy()
@@ -263,21 +268,24 @@ def _search(words: int, percent: int):
     return run
 
 
-def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, block: int = 128, partition_bytes: int = 32 << 20) -> DataFrame:
+def ngram_jaccard_join(
+    docs: DataFrame, words: int = 5, percent: int = 80, block: int = 128, partition_bytes: int = 32 << 20, make: Callable | None = None
+) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links of every document of (doc_id, text, ...).
 
     Texts are lower-cased in A-Z; sets hold distinct ``words``-word shingles, of a shorter text its whole sequence. Two
     documents link when 100 * intersection >= percent * union. Null or empty texts, and texts without words, have an
     empty set, link with nothing and form their own component. Rows with a null doc_id are returned with a null
-    component. Repeated rows link with each other. Other columns are ignored.
+    component. Repeated rows link with each other. Other columns are ignored. ``make`` may name another kind of sets.
     """
+    make = make or word_shingles(words)
     parts = max(64, text_bytes(docs) // partition_bytes)
-    sets = written(document_sets(docs, words), "sets")
+    sets = written(document_sets(docs, make), "sets")
     key = ["k1", "k2", "n_shingles"]
     classes = written(
         sets.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes"
     )
-    clusters = connected_components(coarse_edges(docs, words, percent, parts))
+    clusters = connected_components(coarse_edges(docs, make, percent, parts))
     members = written(
         classes.join(clusters.select(F.col("node").alias("k1"), F.col("component").alias("cluster")), "k1").select("rep", "copies", "cluster", "k1"), "members"
     )
@@ -294,7 +302,7 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, block
         "cluster", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "doc_id", "copies", "text"
     )
     spread = rows.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    found = written(spread.mapInPandas(_search(words, percent), "a long, b long, links long"), "links")
+    found = written(spread.mapInPandas(_search(make, percent), "a long, b long, links long"), "links")
     reached = connected_components(found.where("b is not null").select("a", "b"))
     links = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     named = written(

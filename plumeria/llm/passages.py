@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from .ngram_join import text_bytes
 from .store import written
-from .textkernels import BASE, BASE_INV, U, mix, powers, slices, utf8_parts
+from .textkernels import BASE, BASE_INV, U, mix, powers, slices, utf8_parts, xxhash64_long
 
 POS_BITS = 24
 FLUSH = 16 << 20
@@ -98,7 +98,8 @@ def runs_of(x: np.ndarray) -> Iterator[tuple[int, int, int]]:
 
 
 def home(doc: np.ndarray, parts: int) -> np.ndarray:
-    return (mix(doc.astype(np.int64).view(U)) % U(parts)).astype(np.int64)
+    """pmod(xxhash64(doc_id), parts), as Spark computes it."""
+    return np.mod(xxhash64_long(doc).view(np.int64), parts)
 
 
 def batch_of(**columns) -> pa.RecordBatch:
@@ -402,17 +403,6 @@ def _ranges(k: int, parts: int):
     return run
 
 
-def home_column(parts: int):
-    """home() as a Spark column would not be cheaper; documents get theirs from the same arithmetic in an Arrow task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(home(ids, parts).astype(np.int32)), *batch.columns], ["home", *batch.schema.names])
-
-    return run
-
-
 def _cut(names: list[str], with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got, ranges = [], None
@@ -465,8 +455,8 @@ def dedup_passages(docs: DataFrame, k: int = 50, anchor: int = 24, with_text: bo
     shared = fingers.repartitionById(parts, "bucket").mapInArrow(_shared_fingers, "home int, data binary")
 
     def at_home(left: DataFrame, right: DataFrame) -> DataFrame:
-        kinds = T.StructType([T.StructField("home", T.IntegerType()), *right.schema.fields])
-        there = right.mapInArrow(home_column(parts), kinds).withColumn("kind", F.lit(1)).withColumn("data", F.lit(None).cast("binary"))
+        at = F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")
+        there = right.withColumns({"home": at, "kind": F.lit(1), "data": F.lit(None).cast("binary")})
         both = left.withColumn("kind", F.lit(0)).unionByName(there, allowMissingColumns=True)
         return both.repartitionById(parts, "home").sortWithinPartitions("kind")
 

@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .language import document_languages, page_languages
+from .media import document_media
 from .mixing import MIX_SQL, mix_sources
 from .ngram_join import ngram_jaccard_join
 from .passages import dedup_passages
+from .pieces import encode_documents
+from .quality import score_quality
+from .spotsigs import compare_edited
 from .store import table
+from .toxicity import score_toxicity
+from .warc import archive_pages
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learnt from the labelled ones that are not held out."""
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,12 +34,52 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages through archives of one gzip stream, normalised to one member a record, and read back by the index."""
+    return archive_pages(table(spark, sf_dir, "pages"))
+
+
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as stored images, shown in interleaved pages and resolved by digest."""
+    return document_media(table(spark, sf_dir, "documents"))
+
+
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of all documents, decoded again to check them."""
+    return encode_documents(table(spark, sf_dir, "documents"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents from text, declared tag and source."""
+    return document_languages(table(spark, sf_dir, "documents")).select("doc_id", "declared", "host", "language", "posterior", "gain", "accepted")
+
+
+def op7b_page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all pages from text, html tag, address suffix and host."""
+    return page_languages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SpotSigs fingerprints of all documents, their edited texts and their likeness."""
+    return compare_edited(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents by weights 5, 2, 1 over the sources."""
     return mix_sources(table(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3)
 
 
-QUERIES = {"op2_passages": op2_passages, "op3_ngram_join": op3_ngram_join, "op9_mixing": op9_mixing}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents by co-training, learnt from the labelled ones that are not held out."""
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_toxicity, op2_passages, op3_ngram_join, op4_warc, op5_media, op6_pieces, op7_language, op7b_page_language, op8_spotsigs, op9_mixing, op10_quality,
+    )
+}
 
 ORACLE = {
     "op9_mixing": f"SELECT doc_id, size, source_size, target, taken FROM ({MIX_SQL.format(docs='documents')})",

@@ -52,6 +52,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def xxhash64_long(x: np.ndarray, seed: int = 42) -> np.ndarray:
+    """Spark's xxhash64 of one bigint column."""
+    p1, p2, p3, p4, p5 = (U(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+    def rotl(v: np.ndarray, r: int) -> np.ndarray:
+        return (v << U(r)) | (v >> U(64 - r))
+
+    h = rotl(x.astype(np.int64).view(U) * p2, 31) * p1 ^ (p5 + U(seed) + U(8))
+    h = rotl(h, 27) * p1 + p4
+    h = (h ^ (h >> U(33))) * p2
+    h = (h ^ (h >> U(29))) * p3
+    return h ^ (h >> U(32))
+
+
 def utf8_parts(col) -> tuple[np.ndarray, np.ndarray]:
     """The bytes and the n+1 offsets of an Arrow text or binary array; nulls are empty."""
     if isinstance(col, pa.ChunkedArray):
