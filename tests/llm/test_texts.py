@@ -211,7 +211,7 @@ def test_search_of_any_vocabulary_and_bounded_window():
     for _ in range(200):
         t = "".join(r.choice("ab c") for _ in range(r.randrange(1, 60)))
         assert path_score(v, pieces.encode(v, t)) == pytest.approx(path_score(v, full_search(v, t)))
-    parts = list(pieces.stream(v, "ab" * 5000))
+    parts = list(pieces.stream(v, "".join(r.choice("ab c") for _ in range(10000))))
     assert len(parts) > 100 and max(map(len, parts)) < 200
 
 
@@ -280,8 +280,8 @@ def test_language_query(spark):
 
 def test_spot_sets_by_hand():
     a, b, c, d, e = spotsigs.all_sets(["the cat sat on a mat now", "the CAT sat", "", "cat sat", "the cat sat on a mat then"])
-    assert len(a) == 2 and len(b) == 1 and b[0] in a and len(c) == 1 and len(d) == 1 and not set(d) & set(a)
-    assert spotsigs.jaccard(a, e) == pytest.approx(1 / 3) and spotsigs.jaccard(a, b, 0.9) == 0 and spotsigs.jaccard(a, b) == 0.5
+    assert len(a) == 3 and len(b) == 1 and b[0] in a and len(c) == 1 and len(d) == 1 and not set(d) & set(a)
+    assert spotsigs.jaccard(a, e) == pytest.approx(1 / 5) and spotsigs.jaccard(a, b, 0.9) == 0 and spotsigs.jaccard(a, b) == pytest.approx(1 / 3)
 
 
 def next_brute(rows):
@@ -341,10 +341,10 @@ def test_cotraining_uses_both_views():
     y = r.integers(0, 2, 3000)
     text = np.column_stack([y + r.normal(0, 0.7, 3000), r.normal(size=(3000, 5))]).astype(np.float32)
     meta = np.column_stack([y + r.normal(0, 0.7, 3000), r.normal(size=(3000, 2))]).astype(np.float32)
-    m = quality.cotrain(text[:60], meta[:60], y[:60], text[60:1500], meta[60:1500])
+    m = quality.cotrain(text[:200], meta[:200], y[:200], text[200:1500], meta[200:1500])
     right = lambda p: ((p >= 0.5) == y[1500:]).mean()
     both = right(m.score(text[1500:], meta[1500:]))
-    alone = right(quality.sigmoid(text[1500:] @ quality.logistic_wide(text[:60], y[:60].astype(float), 1e-2, np.ones(60))[:-1] - 0.5))
+    alone = right(quality.sigmoid(text[1500:] @ quality.logistic_wide(text[:200], y[:200].astype(float), 1e-2, np.ones(200))[:-1] - 0.5))
     assert both > 0.8 and both > alone
 
 
