@@ -17,7 +17,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     keep their node.
     """
     edges = edges.select("a", "b").where("a is not null and b is not null")
-    e = written(edges.union(edges.select("b", "a")).distinct(), "edges")
+    both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    e = written(edges.select(both.alias("e")).select("e.a", "e.b").distinct(), "edges")
     labels = None
     for _ in range(max_rounds):
         least = written(e.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("to")), "least")

@@ -297,7 +297,8 @@ def ngram_jaccard_join(
         .select(F.col("rep").alias("doc_id"), "copies", "cluster", "nb", "blk"),
         "blocked",
     )
-    texts = blocked.join(docs.select("doc_id", "text").where("text is not null"), "doc_id")
+    # by shuffle at every size: the members grow with the corpus
+    texts = docs.select("doc_id", "text").where("text is not null").join(blocked.hint("merge"), "doc_id")
     rows = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
         "cluster", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "doc_id", "copies", "text"
     )
