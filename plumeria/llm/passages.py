@@ -33,6 +33,8 @@ from .textkernels import BASE, BASE_INV, U, mix, powers, slices, utf8_parts, xxh
 
 POS_BITS = 24
 FLUSH = 16 << 20
+#: Symbols of one collection, about; all strings of one anchor are in one.
+COLLECTION = 200_000
 
 
 def anchored(b: np.ndarray, offsets: np.ndarray, k: int, m: int) -> tuple[np.ndarray, ...]:
@@ -66,9 +68,8 @@ def anchored(b: np.ndarray, offsets: np.ndarray, k: int, m: int) -> tuple[np.nda
     return row[first], first, end, grams[at[new]], content
 
 
-def pieces(col: pa.Array, k: int) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+def pieces(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
     """Slices of whole texts, and overlapping parts of very long ones: first row, end row, offset in the text, bytes, offsets."""
-    data, offsets = utf8_parts(col)
     most = 1 << (POS_BITS - 1)
     for i, j, b, o in slices(data, offsets):
         for at in range(0, max(1, len(b) - k + 1), most) if len(b) > most + k else (0,):
@@ -134,7 +135,7 @@ def _send_fingers(k: int, m: int, parts: int):
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for i, _, _, b, o in pieces(batch.column(1), k):
+            for i, _, _, b, o in pieces(*utf8_parts(batch.column(1)), k):
                 row, _, _, anchor, _ = anchored(b, o, k, m)
                 finger = anchor & FINGER
                 held.append((finger, ids[i + row]))
@@ -186,8 +187,39 @@ def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return doc[first], start[first], reach[np.append(first[1:], len(doc)) - 1]
 
 
+def _send_texts(parts: int):
+    """Documents, packed for each home: texts travel in large compressed blobs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            ids, length, text = (np.concatenate(x) for x in zip(*held, strict=True))
+            to = home(ids, parts)
+            order = np.argsort(to, kind="stable")
+            start = (np.cumsum(length) - length)[order]
+            ids, length, to = ids[order], length[order], to[order]
+            out = [(v, pack(ids[s:e], length[s:e], np.concatenate([text[a : a + n] for a, n in zip(start[s:e], length[s:e])]))) for v, s, e in runs_of(to)]
+            return batch_of(home=pa.array([v for v, _ in out], pa.int32()), data=pa.array([b for _, b in out], pa.binary()))
+
+        for batch in batches:
+            data, offsets = utf8_parts(batch.column(1))
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for i, j, b, o in slices(data, offsets):
+                held.append((ids[i:j], np.diff(o), b))
+                size += len(b)
+                if size > 2 * FLUSH:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    return run
+
+
 def _send_fragments(k: int, m: int, parts: int):
-    """Rows of one home: kind 0 with shared fingerprints, then kind 1 with documents."""
+    """Rows of one home: kind 0 with shared fingerprints, then kind 1 with packed documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared, known, held, size = [], None, [], 0
@@ -230,24 +262,22 @@ def _send_fragments(k: int, m: int, parts: int):
                 continue
             if known is None:
                 known = np.unique(np.concatenate(shared)) if shared else np.zeros(0, U)
-            if not len(known):
-                continue
-            part = batch.slice(int(docs[0]), len(docs))
-            ids = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            for i, _, base, b, o in pieces(part.column("text"), k):
-                row, s, e, anchor, content = anchored(b, o, k, m)
-                finger = anchor & FINGER
-                keep = known[np.minimum(np.searchsorted(known, finger), len(known) - 1)] == finger
-                if not keep.any():
-                    continue
-                row, s, e = row[keep], s[keep], e[keep]
-                took = e - s
-                step = np.arange(took.sum()) - np.repeat(np.cumsum(took) - took, took)
-                held.append((ids[i + row], s - o[row] + base, took, anchor[keep], content[keep], b[np.repeat(s, took) + step]))
-                size += len(held[-1][5])
-                if size > FLUSH:
-                    yield from flush()
-                    held, size = [], 0
+            for r in docs if len(known) else ():
+                ids, sizes, data = unpack(batch.column("data")[int(r)].as_py(), np.int64, np.int64, np.uint8)
+                for i, _, base, b, o in pieces(data, np.concatenate([[0], np.cumsum(sizes)]), k):
+                    row, s, e, anchor, content = anchored(b, o, k, m)
+                    finger = anchor & FINGER
+                    keep = known[np.minimum(np.searchsorted(known, finger), len(known) - 1)] == finger
+                    if not keep.any():
+                        continue
+                    row, s, e = row[keep], s[keep], e[keep]
+                    took = e - s
+                    step = np.arange(took.sum()) - np.repeat(np.cumsum(took) - took, took)
+                    held.append((ids[i + row], s - o[row] + base, took, anchor[keep], content[keep], b[np.repeat(s, took) + step]))
+                    size += len(held[-1][5])
+                    if size > FLUSH:
+                        yield from flush()
+                        held, size = [], 0
         if held:
             yield from flush()
 
@@ -265,22 +295,21 @@ def collection_bwt(text: np.ndarray, ends: np.ndarray, folder: str) -> tuple[np.
     length = np.diff(np.concatenate([[0], ends]))
     place = np.arange(n)  # where each string's latest suffix stands
     live = np.arange(n)
-    bwt, lcp = text[ends - 1].copy(), np.zeros(n, np.uint8)
+    closed = 0  # starts of strings, which are never extended
+    both = text[ends - 1].astype(np.uint16) << 8  # a symbol of the transform above its prefix length
     path = os.path.join(folder, "0")
-    np.concatenate([bwt, lcp]).tofile(path)
+    both.tofile(path)
     for t in range(1, int(length.max()) + 1):
-        both = np.fromfile(path, np.uint8)
-        bwt, lcp = both[: len(both) // 2], both[len(both) // 2 :]
+        both = np.fromfile(path, np.uint16)
+        bwt, lcp = (both >> 8).astype(np.uint8), (both & 0xFF).astype(np.uint8)
         size = len(bwt)
         order = np.argsort(bwt, kind="stable")
-        rank = np.empty(size, np.int64)
-        rank[order] = np.arange(size)
-        totals = np.bincount(bwt, minlength=257)
-        closed = int(totals[0])  # starts of strings are never extended
-        q = np.sort(place[live])
-        by_place = live[np.argsort(place[live], kind="stable")]
+        rank = np.empty(size, np.int32)
+        rank[order] = np.arange(size, dtype=np.int32)
+        by_place = live[np.argsort(place[live])]
+        q = place[by_place]
         c = bwt[q]
-        r = rank[q]
+        r = rank[q].astype(np.int64)
         # the suffixes that stand next to the new one are extensions of the neighbouring occurrences of its symbol
         up = order[np.maximum(r - 1, 0)]
         has_up = (r > 0) & (bwt[up] == c)
@@ -300,23 +329,23 @@ def collection_bwt(text: np.ndarray, ends: np.ndarray, folder: str) -> tuple[np.
         total = n + size - closed
         old = np.ones(total, bool)
         old[spot] = False
-        fresh_bwt = np.empty(total, np.uint8)
-        fresh_lcp = np.empty(total, np.uint8)
-        fresh_bwt[old], fresh_lcp[old] = bwt, lcp
+        fresh = np.empty(total, np.uint16)
+        fresh[old] = both
         before = ends[by_place] - t - 1
         ended = length[by_place] == t
-        fresh_bwt[spot] = np.where(ended, 0, text[np.maximum(before, 0)])
         nxt = spot + 1
         fix = has_down & (nxt < total)
         fix[fix] = old[nxt[fix]]
-        fresh_lcp[nxt[fix]] = under[fix]
-        fresh_lcp[spot] = over
+        fresh[nxt[fix]] = (fresh[nxt[fix]] & 0xFF00) | under[fix]
+        fresh[spot] = (np.where(ended, 0, text[np.maximum(before, 0)]).astype(np.uint16) << 8) | over
+        closed += int(ended.sum())
         place[by_place] = spot
         live = by_place[~ended]
         os.unlink(path)
         path = os.path.join(folder, str(t))
-        np.concatenate([fresh_bwt, fresh_lcp]).tofile(path)
-        bwt, lcp = fresh_bwt, fresh_lcp
+        fresh.tofile(path)
+        both = fresh
+    bwt, lcp = (both >> 8).astype(np.uint8), (both & 0xFF).astype(np.uint8)
     os.unlink(path)
     order = np.argsort(bwt, kind="stable")
     rank = np.empty(len(bwt), np.int64)
@@ -332,8 +361,29 @@ def collection_bwt(text: np.ndarray, ends: np.ndarray, folder: str) -> tuple[np.
     return bwt, lcp, owner, left
 
 
-def equal_windows(text: np.ndarray, ends: np.ndarray, doc: np.ndarray, k: int) -> np.ndarray:
-    """For each position of the strings, the smallest document of any string with the k-byte window that starts there."""
+def equal_windows(text: np.ndarray, ends: np.ndarray, doc: np.ndarray, anchor: np.ndarray, k: int) -> np.ndarray:
+    """For each position of the strings, the smallest document of any string with the k-byte window that starts there.
+
+    Strings of one anchor form one collection with those of other anchors, as many as stay in a processor's cache.
+    """
+    out = np.full(len(text), np.iinfo(np.int64).max)
+    order = np.argsort(anchor, kind="stable")
+    new = np.concatenate([[True], anchor[order][1:] != anchor[order][:-1]])
+    group = np.cumsum(new) - 1
+    length = np.diff(np.concatenate([[0], ends]))
+    filled = np.cumsum(length[order])
+    batch = (filled[np.flatnonzero(new)] - 1) // COLLECTION
+    for _, s, e in runs_of(batch[group]):
+        sel = order[s:e]
+        took = length[sel]
+        stop = np.cumsum(took)
+        at = np.repeat(ends[sel] - stop, took) + np.arange(stop[-1])
+        out[at] = collection_windows(text[at], stop, doc[sel], k)
+    return out
+
+
+def collection_windows(text: np.ndarray, ends: np.ndarray, doc: np.ndarray, k: int) -> np.ndarray:
+    """equal_windows() of one collection, by its transform and common prefixes."""
     used = np.unique(text)
     code = np.zeros(256, np.uint8)
     code[used] = np.arange(1, len(used) + 1)
@@ -385,7 +435,7 @@ def _ranges(k: int, parts: int):
                 took = length[pick]
                 ends = np.cumsum(took)
                 flat = text[np.repeat(start[pick] - (ends - took), took) + np.arange(ends[-1])]
-                windows = equal_windows(flat, ends, least, k)
+                windows = equal_windows(flat, ends, least, anchor[sel][pick], k)
                 count = length - k + 1
                 step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 gone = windows[np.repeat((ends - took)[inverse], count) + step] < np.repeat(doc, count)
@@ -438,7 +488,7 @@ def _cut(names: list[str], with_text: bool):
     return run
 
 
-def dedup_passages(docs: DataFrame, k: int = 50, anchor: int = 24, with_text: bool = True, partition_bytes: int = 8 << 20) -> DataFrame:
+def dedup_passages(docs: DataFrame, k: int = 50, anchor: int = 18, with_text: bool = True, partition_bytes: int = 8 << 20) -> DataFrame:
     """The columns of docs (doc_id, text, ...) with the text cut, and n_bytes, n_removed, n_spans, kept_sha256.
 
     Removed is every byte covered by a k-byte string that also starts in a document with a smaller doc_id, judged on the
@@ -460,7 +510,8 @@ def dedup_passages(docs: DataFrame, k: int = 50, anchor: int = 24, with_text: bo
         both = left.withColumn("kind", F.lit(0)).unionByName(there, allowMissingColumns=True)
         return both.repartitionById(parts, "home").sortWithinPartitions("kind")
 
-    fragments = at_home(shared, plain).mapInArrow(_send_fragments(k, anchor, parts), "bucket int, data binary")
+    packed = shared.withColumn("kind", F.lit(0)).unionByName(plain.mapInArrow(_send_texts(parts), "home int, data binary").withColumn("kind", F.lit(1)))
+    fragments = packed.repartitionById(parts, "home").sortWithinPartitions("kind").mapInArrow(_send_fragments(k, anchor, parts), "bucket int, data binary")
     ranges = fragments.repartitionById(parts, "bucket").mapInArrow(_ranges(k, parts), "home int, data binary")
     ranges = written(ranges, "ranges")
     schema = T.StructType([f for f in renamed.schema.fields if f.name in names])
