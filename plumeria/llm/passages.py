@@ -371,6 +371,14 @@ def equal_windows(text: np.ndarray, ends: np.ndarray, doc: np.ndarray, anchor: n
     new = np.concatenate([[True], anchor[order][1:] != anchor[order][:-1]])
     group = np.cumsum(new) - 1
     length = np.diff(np.concatenate([[0], ends]))
+    # an anchor with one string shares its windows with no other string
+    alone = np.bincount(group)[group] == 1
+    lone = order[alone]
+    out[np.repeat(ends[lone] - np.cumsum(length[lone]), length[lone]) + np.arange(length[lone].sum())] = np.repeat(doc[lone], length[lone])
+    order, group, new = order[~alone], group[~alone], new[~alone]
+    if not len(order):
+        return out
+    group = np.cumsum(new) - 1
     filled = np.cumsum(length[order])
     batch = (filled[np.flatnonzero(new)] - 1) // COLLECTION
     for _, s, e in runs_of(batch[group]):
