@@ -178,7 +178,23 @@ def fit_toxicity(texts: list[str], y: np.ndarray, landmarks: int = 400, rounds:
     slot = np.full(CELLS, len(cells), np.int64)
     slot[cells] = np.arange(len(cells))
     s, o = _guarded(*_coded([t or "" for t in texts]))
-    row = np.repeat(np.arange(len(y)), np.diff(o))
+    s = s.astype(np.uint8)
+
+    def row_of(at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(o, at, "right") - 1
+
+    def best_windows(table: np.ndarray) -> np.ndarray:
+        """The start of the best window of each text, text by text in chunks of about a million characters."""
+        out, i = [], 0
+        while i < len(y):
+            j = max(i + 1, int(np.searchsorted(o, o[i] + (1 << 20), "right")) - 1)
+            part, cut = s[o[i] : o[j]], o[i : j + 1] - o[i]
+            sums = np.concatenate([[0.0], np.cumsum(start_sums(part, table), dtype=np.float64)])
+            end = np.repeat(cut[1:], np.diff(cut))
+            score = sums[np.minimum(np.arange(len(part)) + WINDOW - 3, end)] - sums[:-1]
+            out += [o[i] + a + int(score[a:b].argmax()) for a, b in zip(cut[:-1], cut[1:])]
+            i = j
+        return np.array(out)
 
     def kernel(starts: np.ndarray) -> np.ndarray:
         out = np.zeros((len(starts), len(marks)), np.float32)
@@ -187,7 +203,8 @@ def fit_toxicity(texts: list[str], y: np.ndarray, landmarks: int = 400, rounds:
                 p = starts + t
                 ok = p + d < len(s)
                 p = p[ok]
-                out[ok] += dense[slot[(s[p] << 15) | (s[p + a] << 10) | (s[p + b] << 5) | s[p + d]]] * WEIGHTS[k]
+                x = s[p].astype(np.int64)
+                out[ok] += dense[slot[(x << 15) | (s[p + a].astype(np.int64) << 10) | (s[p + b].astype(np.int64) << 5) | s[p + d]]] * WEIGHTS[k]
         return out
 
     # the first windows: those with the words most tied to the label
@@ -199,18 +216,17 @@ def fit_toxicity(texts: list[str], y: np.ndarray, landmarks: int = 400, rounds:
         for c, v in marks[j].items():
             table[c] -= v / norms[j] ** 2
     r = np.random.default_rng(11)
-    clean = np.flatnonzero(y[row] == 0)
-    pool = [clean[r.integers(0, len(clean), 3000)]] if len(clean) else []
+    clean = np.flatnonzero(y == 0)
+    size = np.diff(o)
+    texts_drawn = clean[np.searchsorted(np.cumsum(size[clean]), r.integers(0, size[clean].sum(), 3000), "right")]
+    pool = [o[texts_drawn] + r.integers(0, 1 << 40, 3000) % size[texts_drawn]]
     for _ in range(rounds):
-        sums = np.concatenate([[0.0], np.cumsum(start_sums(s, table), dtype=np.float64)])
-        score = sums[np.minimum(np.arange(len(s)) + WINDOW - 3, o[1:][row])] - sums[:-1]
-        order = np.lexsort((-score, row))
-        best = order[np.searchsorted(row[order], np.arange(len(y)))[np.diff(o) > 0]]
-        pool.append(best[y[row[best]] == 0])
-        positive = best[y[row[best]] == 1]
+        best = best_windows(table)
+        pool.append(best[y == 0])
+        positive = best[y == 1]
         negative = np.unique(np.concatenate(pool))
         at = np.concatenate([positive, negative])
-        target = np.where(y[row[at]] == 1, 1.0, -1.0)
+        target = np.where(y[row_of(at)] == 1, 1.0, -1.0)
         z = np.column_stack([kernel(at) @ whiten, np.ones(len(at))])
         weight = np.where(target > 0, 0.5 / max(1, len(positive)), 0.5 / max(1, len(negative))) * len(at) * cost
         w = np.zeros(z.shape[1])
@@ -224,7 +240,7 @@ def fit_toxicity(texts: list[str], y: np.ndarray, landmarks: int = 400, rounds:
         beta = whiten @ w[:-1]
         table = np.zeros(CELLS, np.float32)
         table[cells] = dense[:-1] @ beta.astype(np.float32)
-    best = np.maximum(window_best(s, o, table), -1e6)
+    best = np.concatenate([window_best(s[o[i] : o[j]], o[i : j + 1] - o[i], table) for i, j in ((i, min(i + 100, len(y))) for i in range(0, len(y), 100))])
     # calibrated on the sample's own rows with balanced classes, as scores are to be cut at one half
     slope, centre = logistic(best[:, None], y.astype(float), 1e-3, np.where(y == 1, 0.5 / n1, 0.5 / n0) * len(y))
     return ToxicityModel(table, float(slope), float(centre))
