@@ -19,21 +19,19 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .store import written
+from .packing import batch_of, home, pack, runs_of, send_texts, unpack
+from .store import text_bytes, written
 from .textkernels import U, mix, shingle_sets
 
 SETS = "doc_id long, n_shingles long, k1 long, k2 long"
 SIGNED = "bucket int, data binary"
 
 
-def text_bytes(docs: DataFrame) -> int:
-    return docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-
-
 def set_keys(g: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two order-free 64-bit keys of each set; those of an empty set are 0."""
     full = np.flatnonzero(np.diff(o))
@@ -139,19 +137,139 @@ def coarse_edges(docs: DataFrame, sets: Callable, percent: int, buckets: int) ->
         if kept:
             yield flush()
 
-    def link(group: pd.DataFrame) -> pd.DataFrame:
-        halves = [np.frombuffer(x, U).reshape(2, -1) for x in group["data"]]
-        sig, sid = (np.concatenate([h[k] for h in halves]) for k in (0, 1))
-        order = np.lexsort((sid, sig))
-        sig, sid = sig[order], sid[order]
-        first = np.concatenate([[True], sig[1:] != sig[:-1]])
-        head = sid[np.flatnonzero(first)][np.cumsum(first) - 1]
-        far = sid != head
-        pairs = np.unique(np.stack([sid[far], head[far]]), axis=1) if far.any() else np.zeros((2, 0), U)
-        return pd.DataFrame({"a": pairs[0].view(np.int64), "b": pairs[1].view(np.int64)})
-
     signed = docs.select("text").mapInArrow(sign, SIGNED)
-    return signed.groupBy("bucket").applyInPandas(link, "a long, b long")
+    return signed.groupBy("bucket").applyInPandas(_link, "a long, b long")
+
+
+def _link(group: pd.DataFrame) -> pd.DataFrame:
+    """Edges of one bucket: every set with the first set of the same signature."""
+    halves = [np.frombuffer(x, U).reshape(2, -1) for x in group["data"]]
+    sig, sid = (np.concatenate([h[k] for h in halves]) for k in (0, 1))
+    order = np.lexsort((sid, sig))
+    sig, sid = sig[order], sid[order]
+    first = np.concatenate([[True], sig[1:] != sig[:-1]])
+    head = sid[np.flatnonzero(first)][np.cumsum(first) - 1]
+    far = sid != head
+    pairs = np.unique(np.stack([sid[far], head[far]]), axis=1) if far.any() else np.zeros((2, 0), U)
+    return pd.DataFrame({"a": pairs[0].view(np.int64), "b": pairs[1].view(np.int64)})
+
+
+def _rows_of(bucket: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    """One blob for each bucket."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, columns = bucket[order].astype(np.int64), [c[order] for c in columns]
+    rows = [(v, pack(*(c[s:e] for c in columns))) for v, s, e in runs_of(bucket)]
+    return batch_of(bucket=pa.array([v for v, _ in rows], pa.int32()), data=pa.array([b for _, b in rows], pa.binary()))
+
+
+def rare_edges(docs: DataFrame, sets: Callable, percent: int, buckets: int) -> DataFrame:
+    """Edges (a, b) between sets that share one of the shingles that are rarest in both: the prefix filter.
+
+    Under one order of all shingles, two sets with an overlap of t share one of the first ``size - t + 1`` shingles of each.
+    The order is by how often a shingle's 32-bit fingerprint was sent, then by its hash. A shingle that was sent once has
+    no partner, so texts that are mostly their own send nothing further, whatever lines they share with others.
+    """
+
+    def fingers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, held, size = set(), [], 0
+
+        def flush() -> pa.RecordBatch:
+            token, to = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(token, kind="stable")
+            token, to = token[order], to[order]
+            first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            count = np.diff(np.append(first, len(token)))
+            times = np.repeat(np.minimum(count, 255), count).astype(np.uint8)
+            keep = np.ones(len(token), bool)
+            keep[1:] = (token[1:] != token[:-1]) | (to[1:] != to[:-1])
+            token, to, times = token[keep], to[keep].astype(np.uint16), times[keep]
+            order = np.lexsort((to, (token >> U(40)) % U(buckets)))
+            token, to, times = token[order], to[order], times[order]
+            return _rows_of((token >> U(40)) % U(buckets), (token & U(0xFFFFFFFF)).astype(np.uint32), to, times)
+
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for i, _, g, o in sets(batch.column(1)):
+                k1, _ = set_keys(g, o)
+                sizes = np.diff(o)
+                fresh = np.array([bool(n) and k not in seen and not seen.add(k) for k, n in zip(k1.tolist(), sizes.tolist(), strict=True)], bool)
+                if fresh.any():
+                    held.append((g[np.repeat(fresh, sizes)], np.repeat(home(ids[i : i + len(sizes)], buckets)[fresh], sizes[fresh])))
+                    size += len(held[-1][0])
+                if size > 1 << 20:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: list[tuple] = []
+        for batch in batches:
+            for blob in batch.column("data").to_pylist():
+                got.append((*unpack(blob, np.uint32, np.uint16, np.uint8), len(got)))
+        if not got:
+            return
+        finger, to, times = (np.concatenate([g[c] for g in got]) for c in range(3))
+        sender = np.repeat(np.array([g[3] for g in got], np.int32), [len(g[0]) for g in got])
+        order = np.lexsort((sender, finger))
+        finger, to, times, sender = finger[order], to[order], times[order].astype(np.int64), sender[order]
+        new = np.concatenate([[True], finger[1:] != finger[:-1]])
+        once = new.copy()
+        once[1:] |= sender[1:] != sender[:-1]
+        first = np.flatnonzero(new)
+        total = np.minimum(np.add.reduceat(np.where(once, times, 0), first), 255)
+        total = np.repeat(total, np.diff(np.append(first, len(finger))))
+        keep = total > 1
+        if keep.any():
+            # the fingerprints of different buckets are told apart by the bucket's number
+            bucket = np.full(int(keep.sum()), TaskContext.get().partitionId(), np.int32)
+            out = _rows_of(to[keep], finger[keep], total[keep].astype(np.uint8), bucket)
+            yield pa.RecordBatch.from_arrays(out.columns, ["home", "data"])
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got, known, totals = [], None, None
+        for batch in batches:
+            kinds = batch.column("kind").to_numpy(zero_copy_only=False)
+            for r in np.flatnonzero(kinds == 0):
+                finger, total, bucket = unpack(batch.column("data")[int(r)].as_py(), np.uint32, np.uint8, np.int32)
+                got.append(((finger.astype(U) << U(20)) | bucket.astype(U), total))
+            docs = np.flatnonzero(kinds == 1)
+            if known is None and len(docs):
+                known, totals = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, U), np.zeros(0, np.uint8))
+                order = np.argsort(known)
+                known, totals = known[order], totals[order]
+            for r in docs if known is not None and len(known) else ():
+                _, length, data = unpack(batch.column("data")[int(r)].as_py(), np.int64, np.int64, np.uint8)
+                ends = np.concatenate([[0], np.cumsum(length)])
+                texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())])
+                sig, sid = [], []
+                for _, _, g, o in sets(texts):
+                    sizes = np.diff(o)
+                    full = ((g & U(0xFFFFFFFF)) << U(20)) | ((g >> U(40)) % U(buckets))
+                    at = np.minimum(np.searchsorted(known, full), len(known) - 1)
+                    total = np.where(known[at] == full, totals[at], 1)
+                    row = np.repeat(np.arange(len(sizes)), sizes)
+                    order = np.lexsort((g, total, row))
+                    place = np.arange(len(g)) - o[:-1][row]
+                    prefix = sizes - -(-percent * sizes // 100) + 1
+                    use = (place < prefix[row]) & (total[order] > 1)
+                    k1, _ = set_keys(g, o)
+                    sig.append(g[order][use])
+                    sid.append(k1[row[use]])
+                sig, sid = np.concatenate(sig), np.concatenate(sid)
+                if not len(sig):
+                    continue
+                bucket = (sig >> U(40)) % U(buckets)
+                order = np.argsort(bucket, kind="stable")
+                sig, sid, bucket = sig[order], sid[order], bucket[order]
+                rows = [(v, np.concatenate([sig[s:e], sid[s:e]]).tobytes()) for v, s, e in runs_of(bucket.astype(np.int64))]
+                yield batch_of(bucket=pa.array([v for v, _ in rows], pa.int32()), data=pa.array([b for _, b in rows], pa.binary()))
+
+    plain = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
+    counted = plain.mapInArrow(fingers, SIGNED).repartitionById(buckets, "bucket").mapInArrow(count, "home int, data binary")
+    both = counted.withColumn("kind", F.lit(0)).unionByName(plain.mapInArrow(send_texts(buckets), "home int, data binary").withColumn("kind", F.lit(1)))
+    signed = both.repartitionById(buckets, "home").sortWithinPartitions("kind").mapInArrow(prefixes, SIGNED)
+    return signed.groupBy("bucket").applyInPandas(_link, "a long, b long")
 
 
 def divide_skip(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int, mu: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
@@ -285,7 +403,9 @@ def ngram_jaccard_join(
     classes = written(
         sets.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes"
     )
-    clusters = connected_components(coarse_edges(docs, make, percent, parts))
+    # under nine tenths, whole parts hold so few shingles that common lines would join most texts
+    edges = coarse_edges(docs, make, percent, parts) if percent >= 90 else rare_edges(docs, make, percent, min(parts, 60_000))
+    clusters = connected_components(edges)
     members = written(
         classes.join(clusters.select(F.col("node").alias("k1"), F.col("component").alias("cluster")), "k1").select("rep", "copies", "cluster", "k1"), "members"
     )
