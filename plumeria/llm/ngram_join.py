@@ -27,6 +27,7 @@ from .components import connected_components
 from .packing import batch_of, home, pack, runs_of, send_texts, unpack
 from .store import text_bytes, written
 from .textkernels import U, mix, shingle_sets
+from .workers import trimmed
 
 SETS = "doc_id long, n_shingles long, k1 long, k2 long"
 SIGNED = "bucket int, data binary"
@@ -101,7 +102,7 @@ def document_sets(docs: DataFrame, sets: Callable) -> DataFrame:
                 a[i:j], b[i:j] = k1.view(np.int64), k2.view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(a), pa.array(b)], ["doc_id", "n_shingles", "k1", "k2"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SETS)
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), SETS)
 
 
 def coarse_edges(docs: DataFrame, sets: Callable, percent: int, buckets: int) -> DataFrame:
@@ -137,7 +138,7 @@ def coarse_edges(docs: DataFrame, sets: Callable, percent: int, buckets: int) ->
         if kept:
             yield flush()
 
-    signed = docs.select("text").mapInArrow(sign, SIGNED)
+    signed = docs.select("text").mapInArrow(trimmed(sign), SIGNED)
     return signed.groupBy("bucket").applyInPandas(_link, "a long, b long")
 
 
@@ -266,9 +267,9 @@ def rare_edges(docs: DataFrame, sets: Callable, percent: int, buckets: int) -> D
                 yield batch_of(bucket=pa.array([v for v, _ in rows], pa.int32()), data=pa.array([b for _, b in rows], pa.binary()))
 
     plain = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    counted = plain.mapInArrow(fingers, SIGNED).repartitionById(buckets, "bucket").mapInArrow(count, "home int, data binary")
-    both = counted.withColumn("kind", F.lit(0)).unionByName(plain.mapInArrow(send_texts(buckets), "home int, data binary").withColumn("kind", F.lit(1)))
-    signed = both.repartitionById(buckets, "home").sortWithinPartitions("kind").mapInArrow(prefixes, SIGNED)
+    counted = plain.mapInArrow(trimmed(fingers), SIGNED).repartitionById(buckets, "bucket").mapInArrow(trimmed(count), "home int, data binary")
+    both = counted.withColumn("kind", F.lit(0)).unionByName(plain.mapInArrow(trimmed(send_texts(buckets)), "home int, data binary").withColumn("kind", F.lit(1)))
+    signed = both.repartitionById(buckets, "home").sortWithinPartitions("kind").mapInArrow(trimmed(prefixes), SIGNED)
     return signed.groupBy("bucket").applyInPandas(_link, "a long, b long")
 
 

@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 from .packing import batch_of, home, pack, runs_of, send_texts, unpack
 from .store import text_bytes, written
 from .textkernels import BASE, BASE_INV, U, mix, powers, slices, utf8_parts
+from .workers import trimmed
 
 POS_BITS = 24
 FLUSH = 16 << 20
@@ -447,8 +448,8 @@ def dedup_passages(docs: DataFrame, k: int = 50, anchor: int = 18, with_text: bo
     names = renamed.columns if with_text else ["doc_id"]
     parts = max(64, text_bytes(docs) // partition_bytes)
     plain = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    fingers = plain.mapInArrow(_send_fingers(k, anchor, parts), "bucket int, data binary")
-    shared = fingers.repartitionById(parts, "bucket").mapInArrow(_shared_fingers, "home int, data binary")
+    fingers = plain.mapInArrow(trimmed(_send_fingers(k, anchor, parts)), "bucket int, data binary")
+    shared = fingers.repartitionById(parts, "bucket").mapInArrow(trimmed(_shared_fingers), "home int, data binary")
 
     def at_home(left: DataFrame, right: DataFrame) -> DataFrame:
         at = F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")
@@ -456,14 +457,14 @@ def dedup_passages(docs: DataFrame, k: int = 50, anchor: int = 18, with_text: bo
         both = left.withColumn("kind", F.lit(0)).unionByName(there, allowMissingColumns=True)
         return both.repartitionById(parts, "home").sortWithinPartitions("kind")
 
-    packed = shared.withColumn("kind", F.lit(0)).unionByName(plain.mapInArrow(send_texts(parts), "home int, data binary").withColumn("kind", F.lit(1)))
-    fragments = packed.repartitionById(parts, "home").sortWithinPartitions("kind").mapInArrow(_send_fragments(k, anchor, parts), "bucket int, data binary")
-    ranges = fragments.repartitionById(parts, "bucket").mapInArrow(_ranges(k, parts), "home int, data binary")
+    packed = shared.withColumn("kind", F.lit(0)).unionByName(plain.mapInArrow(trimmed(send_texts(parts)), "home int, data binary").withColumn("kind", F.lit(1)))
+    fragments = packed.repartitionById(parts, "home").sortWithinPartitions("kind").mapInArrow(trimmed(_send_fragments(k, anchor, parts)), "bucket int, data binary")
+    ranges = fragments.repartitionById(parts, "bucket").mapInArrow(trimmed(_ranges(k, parts)), "home int, data binary")
     ranges = written(ranges, "ranges")
     schema = T.StructType([f for f in renamed.schema.fields if f.name in names])
     for f in ("n_bytes", "n_removed", "n_spans"):
         schema = schema.add(f, T.LongType())
     schema = schema.add("kept_sha256", T.StringType())
     source = renamed if with_text else renamed.select("doc_id", "text")
-    out = at_home(ranges, source).mapInArrow(_cut(names, with_text), schema)
+    out = at_home(ranges, source).mapInArrow(trimmed(_cut(names, with_text)), schema)
     return out

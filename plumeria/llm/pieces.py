@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .textkernels import slices, utf8_parts
+from .workers import trimmed
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: What an unknown character costs below the least score of a piece.
@@ -284,7 +285,7 @@ def encode_documents(docs: DataFrame, path: str = VOCABULARY, check: bool = True
                     ["doc_id", "ids", "n_tokens", "n_bytes", "round_trip"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, n_bytes long, round_trip boolean")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id long, ids array<int>, n_tokens long, n_bytes long, round_trip boolean")
 
 
 def decode_documents(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
@@ -300,4 +301,4 @@ def decode_documents(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
             texts = [data[at[r] : at[r + 1]].tobytes().decode("utf-8", "replace") for r in range(len(lists))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(trimmed(run), "doc_id long, text string")
