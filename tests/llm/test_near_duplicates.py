@@ -87,6 +87,20 @@ def test_components(spark):
     assert got == brute.components({x for p in real for x in p}, real)
 
 
+def test_components_of_ascending_paths(spark):
+    links = [(i, i + 1) for i in range(4000)] + [(i, i + s) for i in range(10_000, 10_500) for s in (1, 2, 3)] + [(20_000, i) for i in range(20_001, 20_500)] + [(30_000 - i, 30_000) for i in range(500)]
+    got = {x.node: x.component for x in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == brute.components({x for p in links for x in p}, links)
+
+
+def test_join_of_a_chain_of_near_copies(spark):
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(words[2 * i : 2 * i + 100])) for i in range(90)]  # each like the next two only
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ngram_jaccard_join(df, 3, 90).collect()}
+    assert got == brute.jaccard_join(rows, 3, 90) and {c for _, c, _ in got.values()} == {0}
+
+
 @pytest.mark.parametrize("k,anchor", [(50, 24), (12, 5)])
 def test_passages_equal_brute_force(spark, k, anchor):
     rows = corpus(7) + [(2000, "á" * 200), (2001, "á" * 130 + "b"), (2002, "x" * 49), (2003, "x" * 50), (2004, "x" * 120)]
