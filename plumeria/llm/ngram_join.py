@@ -163,13 +163,15 @@ def _rows_of(bucket: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
     return batch_of(bucket=pa.array([v for v, _ in rows], pa.int32()), data=pa.array([b for _, b in rows], pa.binary()))
 
 
-def rare_edges(docs: DataFrame, sets: Callable, percent: int, buckets: int) -> DataFrame:
+def rare_edges(docs: DataFrame, sets: Callable, percent: int, buckets: int, by_length: bool = False) -> DataFrame:
     """Edges (a, b) between sets that share one of the shingles that are rarest in both: the prefix filter.
 
     Under one order of all shingles, two sets with an overlap of t share one of the first ``size - t + 1`` shingles of each.
     The order is by how often a shingle's 32-bit fingerprint was sent, then by its hash. A shingle that was sent once has
-    no partner, so texts that are mostly their own send nothing further, whatever lines they share with others.
+    no partner, so texts that are mostly their own send nothing further, whatever lines they share with others. Hashes need
+    all their 64 bits. ``by_length`` lets sets meet in their own size class and the next larger one only.
     """
+    classes = Parts(percent).bounds
 
     def fingers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, held, size = set(), [], 0
@@ -255,8 +257,12 @@ def rare_edges(docs: DataFrame, sets: Callable, percent: int, buckets: int) -> D
                     prefix = sizes - -(-percent * sizes // 100) + 1
                     use = (place < prefix[row]) & (total[order] > 1)
                     k1, _ = set_keys(g, o)
-                    sig.append(g[order][use])
-                    sid.append(k1[row[use]])
+                    sent, to = g[order][use], row[use]
+                    if by_length:
+                        level = np.searchsorted(classes, sizes, "right")[to].astype(U)
+                        sent, to = np.concatenate([mix(sent + mix(level + U(up))) for up in (0, 1)]), np.concatenate([to, to])
+                    sig.append(sent)
+                    sid.append(k1[to])
                 sig, sid = np.concatenate(sig), np.concatenate(sid)
                 if not len(sig):
                     continue
@@ -388,14 +394,15 @@ def _search(make: Callable, percent: int):
 
 
 def ngram_jaccard_join(
-    docs: DataFrame, words: int = 5, percent: int = 80, block: int = 128, partition_bytes: int = 32 << 20, make: Callable | None = None
+    docs: DataFrame, words: int = 5, percent: int = 80, block: int = 128, partition_bytes: int = 32 << 20, make: Callable | None = None, by_length: bool = False
 ) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links of every document of (doc_id, text, ...).
 
     Texts are lower-cased in A-Z; sets hold distinct ``words``-word shingles, of a shorter text its whole sequence. Two
     documents link when 100 * intersection >= percent * union. Null or empty texts, and texts without words, have an
     empty set, link with nothing and form their own component. Rows with a null doc_id are returned with a null
-    component. Repeated rows link with each other. Other columns are ignored. ``make`` may name another kind of sets.
+    component. Repeated rows link with each other. Other columns are ignored. ``make`` may name another kind of sets
+    of 64-bit hashes; ``by_length`` has the prefix filter keep to size classes, as the part signatures always do.
     """
     make = make or word_shingles(words)
     parts = max(64, text_bytes(docs) // partition_bytes)
@@ -405,7 +412,7 @@ def ngram_jaccard_join(
         sets.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes"
     )
     # under nine tenths, whole parts hold so few shingles that common lines would join most texts
-    edges = coarse_edges(docs, make, percent, parts) if percent >= 90 else rare_edges(docs, make, percent, min(parts, 60_000))
+    edges = coarse_edges(docs, make, percent, parts) if percent >= 90 else rare_edges(docs, make, percent, min(parts, 60_000), by_length)
     clusters = connected_components(edges)
     members = written(
         classes.join(clusters.select(F.col("node").alias("k1"), F.col("component").alias("cluster")), "k1").select("rep", "copies", "cluster", "k1"), "members"

@@ -1,14 +1,16 @@
 """Operator 8: SpotSigs fingerprints: common-word anchors, each with the chain of content words that follows it.
 
 A text's fingerprint is the sorted set of 32-bit hashes of its spots, in hexadecimal. Sets are compared by Jaccard
-similarity; a bound from the two set lengths alone prunes pairs that cannot reach a threshold, and the self-join
-partitions sets by length so that only neighbouring lengths meet.
+similarity; a bound from the two set lengths alone prunes pairs that cannot reach a threshold. The self-join has 64-bit
+hashes and partitions sets by length so that only neighbouring lengths meet; the fingerprints of documents are compared
+with those of given partners and need no join.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +36,11 @@ def _anchor_hashes() -> np.ndarray:
     return np.unique(word_hashes(b, s, e))
 
 
-def spot_sets(col: pa.Array, length: int = CHAIN) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """For slices of an Arrow text column: first row, end row, sorted distinct spot hashes (32 bits), offsets.
+def spot_sets(col: pa.Array, length: int = CHAIN, bits: int = 32) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For slices of an Arrow text column: first row, end row, sorted distinct spot hashes of 32 or 64 bits, offsets.
 
-    A text without a spot has one hash of its whole bytes, so that equal texts, and only those, match; an empty one too.
+    A text without a spot has one hash of its whole bytes, an empty one too, so that equal texts match, and others only by
+    a collision of that many bits.
     """
     common = _anchor_hashes()
     data, offsets = utf8_parts(col)
@@ -57,13 +60,13 @@ def spot_sets(col: pa.Array, length: int = CHAIN) -> Iterator[tuple[int, int, np
             last = content[nth + length - 1] if len(content) else nth
             ok = row[last] == row[at]
             at, nth = at[ok], nth[ok]
-            spots = chain(h[at], *(h[content[nth + k]] for k in range(length))) >> U(32)
+            spots = chain(h[at], *(h[content[nth + k]] for k in range(length))) >> U(64 - bits)
             owner = row[at]
         else:
             spots, owner = np.zeros(0, U), np.zeros(0, np.int64)
         bare = np.setdiff1d(np.arange(n), owner)
         if len(bare):
-            whole = np.array([int.from_bytes(hashlib.blake2b(b[o[r] : o[r + 1]].tobytes(), digest_size=4).digest()) for r in bare], U)
+            whole = np.array([int.from_bytes(hashlib.blake2b(b[o[r] : o[r + 1]].tobytes(), digest_size=bits // 8).digest()) for r in bare], U)
             spots, owner = np.concatenate([spots, whole]), np.concatenate([owner, bare])
             order = np.argsort(owner, kind="stable")
             spots, owner = spots[order], owner[order]
@@ -102,9 +105,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def spotsigs_join(docs: DataFrame, percent: int = 80, **options) -> DataFrame:
     """Classes of documents whose spot sets have a Jaccard similarity of percent / 100 or more, as in the shingle join.
 
-    Sets meet only within neighbouring length partitions, and pairs are pruned by length and least overlap.
+    Sets meet only within neighbouring length partitions, and pairs are pruned by length and least overlap. Spots have 64
+    bits here, whose upper ones deal them to buckets.
     """
-    return ngram_jaccard_join(docs, percent=percent, make=spot_sets, **options)
+    return ngram_jaccard_join(docs, percent=percent, make=partial(spot_sets, bits=64), by_length=True, **options)
 
 
 def beside_next(docs: DataFrame, rows: int = 4000) -> DataFrame:

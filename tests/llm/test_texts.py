@@ -333,6 +333,36 @@ def test_spotsigs_join(spark):
     assert got == brute.components(range(80), links)
 
 
+def test_join_spots_spread_over_buckets():
+    texts = [f"the cat{k} sat{k} of dog{k} ran{k}" for k in range(200)] + [f"cat{k}" for k in range(200)]
+    g = np.concatenate([g for _, _, g, _ in spotsigs.spot_sets(pa.array(texts), bits=64)])
+    assert len(np.unique((g >> np.uint64(40)) % np.uint64(64))) > 55
+
+
+def test_join_of_spotless_texts(spark):
+    seen, same = {}, None  # two texts without a spot whose 32-bit hashes are equal
+    for k in range(1 << 20):
+        h = hashlib.blake2b(f"cat{k}".encode(), digest_size=4).digest()
+        if h in seen:
+            same = (f"cat{seen[h]}", f"cat{k}")
+            break
+        seen[h] = k
+    rows = list(enumerate([*same, "dog ran", "dog ran", "", same[1]]))
+    for percent in (80, 90):
+        got = {x.doc_id: x.component_id for x in spotsigs.spotsigs_join(spark.createDataFrame(rows, "doc_id long, text string"), percent).collect()}
+        assert got == {0: 0, 1: 1, 2: 2, 3: 2, 4: 4, 5: 1}
+
+
+@pytest.mark.parametrize("percent", [50, 70, 85])
+def test_linked_sizes_are_neighbouring_classes(percent):
+    from plumeria.llm.ngram_join import Parts
+
+    classes = Parts(percent).bounds
+    s = np.arange(1, 5000)
+    apart = np.searchsorted(classes, 100 * s // percent, "right") - np.searchsorted(classes, s, "right")
+    assert apart.min() >= 0 and apart.max() == 1
+
+
 # quality
 
 
