@@ -53,13 +53,23 @@ WITH {VARIANTS}, f AS (SELECT tensor, target, min(ordinal * 1000000 + shard) AS
 SELECT tensor, {d.list('target', 'first')} AS targets FROM f GROUP BY tensor"""
 
 
-@sql_query
-def placement_resolve(d):
-    """tensor -> shard (supplier) -> device (nation) -> tier (region), with missing steps told."""
+def _placement(nations: str) -> str:
     return f"""
 WITH {VARIANTS}
 SELECT v.tensor, v.shard, n_name AS device, r_name AS tier, CASE WHEN s_suppkey IS NULL THEN 'no shard' WHEN n_nationkey IS NULL THEN 'no device' ELSE 'ok' END AS status
-FROM variants v LEFT JOIN supplier ON s_suppkey = v.shard LEFT JOIN nation ON n_nationkey = s_nationkey AND n_nationkey < 20 LEFT JOIN region ON r_regionkey = n_regionkey"""
+FROM variants v LEFT JOIN supplier ON s_suppkey = v.shard LEFT JOIN nation ON n_nationkey = s_nationkey{nations} LEFT JOIN region ON r_regionkey = n_regionkey"""
+
+
+@sql_query
+def placement_resolve(d):
+    """tensor -> shard (supplier) -> device (nation) -> tier (region), with missing steps told; nations from 20 on count as missing (placement_resolve_all has all)."""
+    return _placement(" AND n_nationkey < 20")
+
+
+@sql_query
+def placement_resolve_all(d):
+    """As placement_resolve, over all nations."""
+    return _placement("")
 
 
 @sql_query
@@ -105,21 +115,41 @@ f AS (SELECT grp, w, min(p_partkey * 10 + pos) AS first FROM t GROUP BY grp, w)
 SELECT CAST(grp AS BIGINT) AS grp, {d.list('w', 'first')} AS affinity FROM f GROUP BY grp""".replace("strpos", "instr")
 
 
-@sql_query
-def state_dict_validate(d):
-    """Expected labels against actual documents: missing, unexpected, and wrong values, as a full outer join."""
-    return """
-WITH e AS (SELECT doc_id, quality FROM labels), a AS (SELECT doc_id, CASE WHEN n_chars > 100 THEN 1 ELSE 0 END AS quality FROM documents WHERE doc_id % 3 <> 0)
+def _validate(documents: str) -> str:
+    return f"""
+WITH e AS (SELECT doc_id, quality FROM labels), a AS (SELECT doc_id, CASE WHEN n_chars > 100 THEN 1 ELSE 0 END AS quality FROM documents{documents})
 SELECT COALESCE(e.doc_id, a.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'missing' WHEN e.doc_id IS NULL THEN 'unexpected' WHEN e.quality <> a.quality THEN 'differs' ELSE 'ok' END AS issue
 FROM e FULL OUTER JOIN a ON e.doc_id = a.doc_id"""
 
 
 @sql_query
-def unexpected_keys(d):
-    """Keys of lineitem's orders that orders lacks, and the other way round, as set differences."""
-    return """
+def state_dict_validate(d):
+    """Expected labels against actual documents: missing, unexpected, and wrong values, as a full outer join; two of three documents (state_dict_validate_all has all)."""
+    return _validate(" WHERE doc_id % 3 <> 0")
+
+
+@sql_query
+def state_dict_validate_all(d):
+    """As state_dict_validate, over all documents."""
+    return _validate("")
+
+
+def _key_differences(orders: str) -> str:
+    return f"""
 SELECT 'childless' AS kind, o_orderkey AS k FROM (SELECT o_orderkey FROM orders EXCEPT SELECT l_orderkey FROM lineitem) x
-UNION ALL SELECT 'orphan' AS kind, l_orderkey AS k FROM (SELECT l_orderkey FROM lineitem EXCEPT SELECT o_orderkey FROM orders WHERE o_orderkey % 5 <> 0) y"""
+UNION ALL SELECT 'orphan' AS kind, l_orderkey AS k FROM (SELECT l_orderkey FROM lineitem EXCEPT SELECT o_orderkey FROM orders{orders}) y"""
+
+
+@sql_query
+def unexpected_keys(d):
+    """Keys of lineitem's orders that orders lacks, and the other way round, as set differences; four of five orders (unexpected_keys_all has all)."""
+    return _key_differences(" WHERE o_orderkey % 5 <> 0")
+
+
+@sql_query
+def unexpected_keys_all(d):
+    """As unexpected_keys, over all orders."""
+    return _key_differences("")
 
 
 LAYOUT = """sections AS (SELECT o_custkey AS file, o_orderkey AS ordinal, CAST(floor(o_totalprice) AS BIGINT) AS len, CASE WHEN o_orderkey % 4 = 0 THEN 4096 ELSE 64 END AS align FROM orders)"""

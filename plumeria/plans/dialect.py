@@ -29,6 +29,9 @@ class Spark:
     def words(self, cols: str, table: str, pattern: str) -> str:
         return f"(SELECT {cols}, pos + 1 AS pos, w FROM (SELECT {cols}, regexp_extract_all(text, '{pattern.replace(chr(92), chr(92) * 2)}', 0) AS ws FROM {table}) LATERAL VIEW posexplode(ws) t AS pos, w)"
 
+    def numbers(self, cols: str, table: str, low: str, high: str) -> str:
+        return f"(SELECT {cols}, n FROM {table} LATERAL VIEW explode(CASE WHEN {low} <= {high} THEN sequence({low}, {high}) END) t AS n)"
+
 
 class Duck:
     """DuckDB SQL."""
@@ -47,6 +50,9 @@ class Duck:
     def words(self, cols: str, table: str, pattern: str) -> str:
         return f"(SELECT {cols}, CAST(unnest(range(1, len(ws) + 1)) AS INT) AS pos, unnest(ws) AS w FROM (SELECT {cols}, regexp_extract_all(text, '{pattern}') AS ws FROM {table}))"
 
+    def numbers(self, cols: str, table: str, low: str, high: str) -> str:
+        return f"(SELECT {cols}, unnest(range({low}, {high} + 1)) AS n FROM {table})"
+
 
 def sql_query(build: Callable[[object], str]) -> Callable[[SparkSession, str], DataFrame]:
     """Register a query that both engines can run; build(dialect) gives its text."""

@@ -60,9 +60,26 @@ SELECT event_type AS graph, count(*) AS lookups, CAST(sum(hit) AS BIGINT) AS hit
 
 @sql_query
 def prefix_longest_match(d):
-    """The longest cached prefix (a benchmark text's first words) of each document, by joins on equal prefixes."""
+    """The longest cached prefix (a benchmark text's first words) of each document, of 2, 4, 8 or 16 characters (prefix_longest_match_whole has every length)."""
     return """
 WITH p AS (SELECT item_id, n.n, substring(text, 1, n.n) AS pre FROM benchmark CROSS JOIN (SELECT 2 AS n UNION ALL SELECT 4 AS n UNION ALL SELECT 8 AS n UNION ALL SELECT 16 AS n) n),
 m AS (SELECT d.doc_id, p.n, min(p.item_id) AS item FROM documents d JOIN p ON substring(d.text, 1, p.n) = p.pre GROUP BY d.doc_id, p.n),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC) AS r FROM m)
 SELECT doc_id, CAST(n AS BIGINT) AS matched, item FROM r WHERE r = 1"""
+
+
+@sql_query
+def prefix_longest_match_whole(d):
+    """The longest prefix of any benchmark text that each document begins with, of every length, and the least item that has it.
+
+    Cached prefixes have one row each before the join. All shorter prefixes of a match match too, so lengths from 16 on are
+    tried only for the documents that match at 16.
+    """
+    return f"""
+WITH b AS (SELECT text, min(item_id) AS item FROM benchmark GROUP BY text),
+p AS (SELECT n, substring(text, 1, n) AS pre, min(item) AS item FROM {d.numbers('text, item', 'b', 'CAST(1 AS BIGINT)', 'CAST(length(text) AS BIGINT)')} x GROUP BY n, substring(text, 1, n)),
+c AS (SELECT d.doc_id, d.text, CAST(CASE WHEN p.n IS NULL THEN 1 ELSE 16 END AS BIGINT) AS low, CAST(CASE WHEN p.n IS NULL THEN least(15, length(d.text)) ELSE least(length(d.text), l.longest) END AS BIGINT) AS high
+  FROM documents d LEFT JOIN p ON p.n = 16 AND p.pre = substring(d.text, 1, 16) CROSS JOIN (SELECT max(length(text)) AS longest FROM b) l),
+m AS (SELECT x.doc_id, p.n, p.item FROM {d.numbers('doc_id, text', 'c', 'low', 'high')} x JOIN p ON p.n = x.n AND p.pre = substring(x.text, 1, x.n)),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, item) AS r FROM m)
+SELECT doc_id, CAST(n AS BIGINT) AS matched, item FROM r WHERE r = 1"""

@@ -217,7 +217,7 @@ SELECT vec_id, CAST(dim AS BIGINT) AS dim, round(x * cos(t) - y * sin(t), 5) AS
 
 @sql_query
 def causal_attention(d):
-    """Causal attention of one head (8 dimensions) over sequences of 16 tokens."""
+    """Causal attention of one head (8 dimensions) over sequences of 16 tokens (causal_attention_heads has all heads)."""
     return f"""
 WITH e AS (SELECT vec_id, CAST(floor(vec_id / 16) AS BIGINT) AS seq, vec_id % 16 AS pos, dim, v FROM {d.emb} z WHERE dim < 8),
 s AS (SELECT q.seq, q.pos AS q, k.pos AS k, sum(q.v * k.v) / sqrt(8) AS s FROM e q JOIN e k ON k.seq = q.seq AND k.dim = q.dim AND k.pos <= q.pos GROUP BY q.seq, q.pos, k.pos),
@@ -225,9 +225,29 @@ w AS (SELECT *, exp(s - max(s) OVER (PARTITION BY seq, q)) AS x FROM s), n AS (S
 SELECT n.seq, n.q AS pos, CAST(e.dim AS BIGINT) AS dim, round(sum(n.a * e.v), 5) AS y FROM n JOIN e ON e.seq = n.seq AND e.pos = n.k GROUP BY n.seq, n.q, e.dim"""
 
 
+@sql_query
+def causal_attention_heads(d):
+    """Causal attention of every head (8 dimensions) over sequences of 16 tokens."""
+    return f"""
+WITH e AS (SELECT CAST(floor(vec_id / 16) AS BIGINT) AS seq, vec_id % 16 AS pos, CAST(floor(dim / 8) AS INT) AS head, dim % 8 AS i, v FROM {d.emb} z),
+s AS (SELECT q.seq, q.head, q.pos AS q, k.pos AS k, sum(q.v * k.v) / sqrt(8) AS s FROM e q JOIN e k ON k.seq = q.seq AND k.head = q.head AND k.i = q.i AND k.pos <= q.pos GROUP BY q.seq, q.head, q.pos, k.pos),
+w AS (SELECT *, exp(s - max(s) OVER (PARTITION BY seq, head, q)) AS x FROM s), n AS (SELECT seq, head, q, k, x / sum(x) OVER (PARTITION BY seq, head, q) AS a FROM w)
+SELECT n.seq, n.q AS pos, CAST(n.head AS BIGINT) AS head, CAST(e.i AS BIGINT) AS i, round(sum(n.a * e.v), 5) AS y FROM n JOIN e ON e.seq = n.seq AND e.pos = n.k AND e.head = n.head GROUP BY n.seq, n.q, n.head, e.i"""
+
+
+@sql_query
+def gqa_attention_tokens(d):
+    """Grouped-query attention, causal: 8 query heads share 2 key and value heads (head / 4), every token of sequences of 16."""
+    return f"""
+WITH e AS (SELECT CAST(floor(vec_id / 16) AS BIGINT) AS seq, vec_id % 16 AS pos, CAST(floor(dim / 8) AS INT) AS head, dim % 8 AS i, v FROM {d.emb} z),
+s AS (SELECT q.seq, q.head, q.pos AS q, k.pos AS k, sum(q.v * k.v) / sqrt(8) AS s FROM e q JOIN e k ON k.seq = q.seq AND k.i = q.i AND k.head = CAST(floor(q.head / 4) AS INT) AND k.pos <= q.pos GROUP BY q.seq, q.head, q.pos, k.pos),
+w AS (SELECT *, exp(s - max(s) OVER (PARTITION BY seq, head, q)) AS x FROM s), n AS (SELECT seq, head, q, k, x / sum(x) OVER (PARTITION BY seq, head, q) AS a FROM w)
+SELECT n.seq, n.q AS pos, CAST(n.head AS BIGINT) AS head, CAST(e.i AS BIGINT) AS i, round(sum(n.a * e.v), 5) AS y FROM n JOIN e ON e.seq = n.seq AND e.pos = n.k AND e.head = CAST(floor(n.head / 4) AS INT) GROUP BY n.seq, n.q, n.head, e.i"""
+
+
 @sql_query
 def gqa_attention(d):
-    """Grouped-query attention: 8 query heads share 2 key and value heads (head / 4), last token of each sequence of 16."""
+    """Grouped-query attention: 8 query heads share 2 key and value heads (head / 4), last token of each sequence of 16 (gqa_attention_tokens has all)."""
     return f"""
 WITH e AS (SELECT CAST(floor(vec_id / 16) AS BIGINT) AS seq, vec_id % 16 AS pos, CAST(floor(dim / 8) AS INT) AS head, dim % 8 AS i, v FROM {d.emb} z),
 s AS (SELECT q.seq, q.head, k.pos AS k, sum(q.v * k.v) / sqrt(8) AS s FROM e q JOIN e k ON k.seq = q.seq AND k.i = q.i AND k.head = CAST(floor(q.head / 4) AS INT) WHERE q.pos = 15 GROUP BY q.seq, q.head, k.pos),
