@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import written
@@ -81,37 +81,59 @@ class LanguageModel:
         return out, gain
 
 
-def fit_languages(texts: list[str], langs: list[str]) -> LanguageModel:
-    names = sorted(set(langs))
-    counts = np.zeros((CELLS, max(1, len(names))))
-    for k, name in enumerate(names):
+def gram_counts(texts: list[str], langs: list[str]) -> dict[str, np.ndarray]:
+    """How often each cell occurs in the texts of each language."""
+    counts = {}
+    for name in sorted(set(langs)):
         b = np.frombuffer("\n".join(t for t, g in zip(texts, langs, strict=True) if g == name).encode(), np.uint8)
-        if len(b) >= 3:
-            counts[:, k] = np.bincount(gram_cells(b), minlength=CELLS)
-    smooth = counts + 0.05
+        counts[name] = np.bincount(gram_cells(b), minlength=CELLS) if len(b) >= 3 else np.zeros(CELLS, np.int64)
+    return counts
+
+
+def model_of(counts: dict[str, np.ndarray]) -> LanguageModel:
+    names = sorted(counts)
+    smooth = np.column_stack([counts[x] for x in names] or [np.zeros(CELLS)]) + 0.05
     table = np.log(smooth / smooth.sum(axis=0))
     return LanguageModel(names or ["und"], np.concatenate([table, np.zeros((1, table.shape[1]))]).astype(np.float32), float(np.log(1 / CELLS)))
 
 
-def train_languages(docs: DataFrame, per_language: int = 400, seed: int = 3) -> LanguageModel:
+def fit_languages(texts: list[str], langs: list[str]) -> LanguageModel:
+    return model_of(gram_counts(texts, langs))
+
+
+def primary_subtag(tag: Column) -> Column:
+    """The language of a tag in lower case: en of en-US, en_GB and EN; null of a tag without one."""
+    return F.nullif(F.lower(F.regexp_extract(F.trim(tag), "^[^-_]*", 0)), F.lit(""))
+
+
+def train_languages(docs: DataFrame, per_language: int = 400, seed: int = 3, at_once: int = 32) -> LanguageModel:
     """Letter models from at most ``per_language`` rows of each declared language, chosen by a hash of their id.
 
-    Declared tags may be wrong, so rows whose text another language's model explains better are left out of a second fit.
-    The number of languages is that of the tags with rows of their own; it is bounded by the tag set, not by the input.
+    Every primary subtag with rows of its own has a model; spellings and regions of one language share it. Declared tags
+    may be wrong, so rows whose text another language's model explains better are left out of a second fit. The driver
+    holds the texts of ``at_once`` languages at a time, and the cell counts of all.
     """
-    tags = [r.lang for r in docs.where("lang is not null and text is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()]
-    ids = []
-    for tag in tags:
-        ids += docs.where(F.col("lang") == tag).select("doc_id").where("doc_id is not null").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(per_language).collect()
-    if not ids:
-        return fit_languages([], [])
-    few = docs.sparkSession.createDataFrame(ids, "doc_id long")
-    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(few), "doc_id").where("text is not null and lang is not null").toPandas().sort_values(["doc_id", "text"])
-    texts, langs = rows["text"].tolist(), rows["lang"].tolist()
-    first = fit_languages(texts, langs)
-    seen, _ = first.evidence(pa.array(texts, pa.string()))
-    agree = [k for k, g in enumerate(langs) if first.languages[int(seen[k].argmax())] == g]
-    return fit_languages([texts[k] for k in agree], [langs[k] for k in agree]) if agree else first
+    tagged = docs.select("doc_id", "text", primary_subtag(F.col("lang")).alias("tag")).where("doc_id is not null and tag is not null")
+    # the rank is cut to its first rows before the shuffle, so no language is sorted in one task
+    place = F.row_number().over(Window.partitionBy("tag").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id"))
+    few = written(tagged.select("doc_id", "tag").withColumn("place", place).where(F.col("place") <= per_language).select("doc_id", "tag").distinct(), "sampled")
+    sample = written(tagged.join(F.broadcast(few), ["doc_id", "tag"]).where("text is not null").select("doc_id", "text", "tag"), "sample")
+    tags = sorted(r.tag for r in sample.select("tag").distinct().collect())
+
+    def rows() -> Iterator[tuple[list[str], list[str]]]:
+        for k in range(0, len(tags), at_once):
+            part = sample.where(F.col("tag").isin(tags[k : k + at_once])).toPandas().sort_values(["doc_id", "text"])
+            yield part["text"].tolist(), part["tag"].tolist()
+
+    counts = {}
+    for texts, langs in rows():
+        counts |= gram_counts(texts, langs)
+    first, agreed = model_of(counts), {}
+    for texts, langs in rows():
+        seen, _ = first.evidence(pa.array(texts, pa.string()))
+        agree = [k for k, g in enumerate(langs) if first.languages[int(seen[k].argmax())] == g]
+        agreed |= gram_counts([texts[k] for k in agree], [langs[k] for k in agree])
+    return model_of(agreed) if agreed else first
 
 
 def identify(docs: DataFrame, model: LanguageModel, strength: float = 20.0, accept: float = 0.5, least_gain: float = 0.6, key: str = "doc_id") -> DataFrame:

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from plumeria.llm import media, pieces, quality, spotsigs, toxicity, warc
-from plumeria.llm.language import fit_languages, identify
+from plumeria.llm.language import fit_languages, identify, train_languages
 from plumeria.llm.queries import op1_toxicity, op4_warc, op5_media, op6_pieces, op7_language, op8_spotsigs, op10_quality
 from plumeria.llm.textkernels import U, powers, utf8_parts, xxhash64_long
 
@@ -275,6 +275,17 @@ def test_language_query(spark):
     assert (got.language == got.lang).mean() > 0.97 and got.accepted.mean() > 0.95
 
 
+def test_every_declared_language_has_a_model(spark):
+    r = random.Random(4)
+    rows, names = [], [f"{a}{b}x" for a in "abcdefgh" for b in "abcdefghi"]
+    for name in names:
+        syllables = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(12)]
+        rows += [(len(rows) + k, " ".join(r.choice(syllables) for _ in range(60)), name) for k in range(2)]
+    rows += [(1000 + k, "the cat sat on the mat and then it ran away", tag) for k, tag in enumerate(["en", "en-US", "en_GB", "EN", "", None])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert train_languages(df).languages == sorted([*names, "en"])
+
+
 # fingerprints
 
 
