@@ -12,23 +12,29 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, seed: int, columns: list[str]):
-    """Up to ``per_class`` labelled rows that are not held out, of each class, as a pandas frame with the label as ``y``.
+def sample_ids(docs: DataFrame, labels: DataFrame, label: str, per_class: int, seed: int, longest: int | None = None) -> DataFrame:
+    """doc_id and y of up to ``per_class`` labelled rows of each class that are not held out, chosen by a hash of their id.
 
-    Rows are chosen by a hash of their id, so the sample is the same in every run; only ids pass the driver before their
-    rows are read, and the bound of 2 * per_class rows does not grow with the input.
+    A document labelled both ways, or whose text has more than ``longest`` bytes, is left out. The sample is the same in every
+    run; its bound of 2 * per_class rows does not grow with the input.
     """
     known = labels.select("doc_id", F.col(label).alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    known = known.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("top")).where("y = top").drop("top")
+    if longest is not None:
+        known = known.join(docs.where(F.octet_length("text") <= longest).select("doc_id").distinct(), "doc_id", "left_semi")
     ids = None
     for y in (0, 1):
-        one = known.where(F.col("y") == y).dropDuplicates(["doc_id"]).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(per_class)
+        one = known.where(F.col("y") == y).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(per_class)
         ids = one if ids is None else ids.unionAll(one)
-    chosen = ids.collect()
-    if not chosen:
-        return docs.select("doc_id", *columns).withColumn("y", F.lit(0)).limit(0).toPandas()
-    few = docs.sparkSession.createDataFrame(chosen, ids.schema)
-    rows = docs.select("doc_id", *columns).join(F.broadcast(few), "doc_id")
-    return rows.toPandas().sort_values("doc_id").drop_duplicates("doc_id").reset_index(drop=True)
+    return docs.sparkSession.createDataFrame(ids.collect(), ids.schema)
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, seed: int, columns: list[str], longest: int):
+    """The rows of sample_ids() as a pandas frame with the label as ``y``, one for each id (the first in order of its columns)."""
+    few = sample_ids(docs, labels, label, per_class, seed, longest)
+    rows = docs.where(F.octet_length("text") <= longest).select("doc_id", *columns).join(F.broadcast(few), "doc_id")
+    one = rows.groupBy("doc_id", "y").agg(F.min(F.struct(*columns)).alias("row")).select("doc_id", "y", "row.*")
+    return one.toPandas().sort_values("doc_id").reset_index(drop=True)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -17,12 +17,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import written
-from .textkernels import SPACE, slices, utf8_parts
+from .textkernels import LONG, SPACE, slices, utf8_parts
 from .workers import trimmed
 
 CELLS = 1 << 15
-#: Evidence of one text is capped, as n-grams of one text are not independent.
-MOST = 60.0
+#: The evidence of a text never weighs more than that of so many independent n-grams, as its n-grams are not independent.
+EFFECTIVE = 200.0
 
 
 def gram_cells(b: np.ndarray) -> np.ndarray:
@@ -57,27 +57,33 @@ class LanguageModel:
     table: np.ndarray  # CELLS + 1 rows; the last is for places between texts
     floor: float
 
-    def evidence(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Capped log likelihoods (rows by languages), and the best language's mean gain over the flat model."""
+    def evidence(self, col: pa.Array, effective: float = EFFECTIVE, long: int = LONG) -> tuple[np.ndarray, np.ndarray]:
+        """Tempered log likelihoods less the best one's (rows by languages), and the best's mean gain over the flat model.
+
+        n n-grams weigh as n * effective / (n + effective), so longer texts tell more, with a bound, and no two languages tie.
+        """
         data, offsets = utf8_parts(col)
         n = len(col)
         out, gain = np.zeros((n, len(self.languages))), np.zeros(n)
         for i, j, b, o in slices(data, offsets):
             if len(b) < 3:
                 continue
-            cells = gram_cells(b)
-            row = np.repeat(np.arange(j - i), np.diff(o))
-            cells = np.where(row[:-2] == row[2:], cells, CELLS)
             grams = np.maximum(np.diff(o) - 2, 0)
-            total = np.empty((j - i, len(self.languages)))
-            for k in range(len(self.languages)):
-                sums = np.concatenate([[0.0], np.cumsum(self.table[:, k][cells], dtype=np.float64), [0.0, 0.0]])
-                sums[-2:] = sums[-3]
-                total[:, k] = sums[o[1:]] - sums[o[:-1]]
+            total = np.zeros((j - i, len(self.languages)))
+            if len(b) > long:  # one very long text, in parts
+                for at in range(0, len(b) - 2, long):
+                    total[0] += self.table[gram_cells(b[at : at + long + 2])].sum(axis=0, dtype=np.float64)
+            else:
+                cells = gram_cells(b)
+                row = np.repeat(np.arange(j - i), np.diff(o))
+                cells = np.where(row[:-2] == row[2:], cells, CELLS)
+                for k in range(len(self.languages)):
+                    sums = np.concatenate([[0.0], np.cumsum(self.table[:, k][cells], dtype=np.float64), [0.0, 0.0]])
+                    sums[-2:] = sums[-3]
+                    total[:, k] = sums[o[1:]] - sums[o[:-1]]
             best = total.max(axis=1)
             gain[i:j] = np.where(grams > 0, best / np.maximum(grams, 1) - self.floor, 0.0)
-            spread = total - best[:, None]
-            out[i:j] = np.maximum(spread, -MOST)
+            out[i:j] = (total - best[:, None]) * (effective / (grams + effective))[:, None]
         return out, gain
 
 
@@ -106,18 +112,18 @@ def primary_subtag(tag: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(F.trim(tag), "^[^-_]*", 0)), F.lit(""))
 
 
-def train_languages(docs: DataFrame, per_language: int = 400, seed: int = 3, at_once: int = 32) -> LanguageModel:
+def train_languages(docs: DataFrame, per_language: int = 400, seed: int = 3, at_once: int = 32, longest: int = 1 << 16) -> LanguageModel:
     """Letter models from at most ``per_language`` rows of each declared language, chosen by a hash of their id.
 
     Every primary subtag with rows of its own has a model; spellings and regions of one language share it. Declared tags
     may be wrong, so rows whose text another language's model explains better are left out of a second fit. The driver
-    holds the texts of ``at_once`` languages at a time, and the cell counts of all.
+    holds the texts of ``at_once`` languages at a time, each of at most ``longest`` bytes, and the cell counts of all.
     """
-    tagged = docs.select("doc_id", "text", primary_subtag(F.col("lang")).alias("tag")).where("doc_id is not null and tag is not null")
+    tagged = docs.select("doc_id", "text", primary_subtag(F.col("lang")).alias("tag")).where(F.col("doc_id").isNotNull() & F.col("tag").isNotNull() & (F.octet_length("text") <= longest))
     # the rank is cut to its first rows before the shuffle, so no language is sorted in one task
     place = F.row_number().over(Window.partitionBy("tag").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id"))
     few = written(tagged.select("doc_id", "tag").withColumn("place", place).where(F.col("place") <= per_language).select("doc_id", "tag").distinct(), "sampled")
-    sample = written(tagged.join(F.broadcast(few), ["doc_id", "tag"]).where("text is not null").select("doc_id", "text", "tag"), "sample")
+    sample = written(tagged.join(F.broadcast(few), ["doc_id", "tag"]).groupBy("doc_id", "tag").agg(F.min("text").alias("text")), "sample")
     tags = sorted(r.tag for r in sample.select("tag").distinct().collect())
 
     def rows() -> Iterator[tuple[list[str], list[str]]]:
@@ -136,7 +142,7 @@ def train_languages(docs: DataFrame, per_language: int = 400, seed: int = 3, at_
     return model_of(agreed) if agreed else first
 
 
-def identify(docs: DataFrame, model: LanguageModel, strength: float = 20.0, accept: float = 0.5, least_gain: float = 0.6, key: str = "doc_id") -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, strength: float = 20.0, accept: float = 0.5, least_gain: float = 0.6, effective: float = EFFECTIVE, key: str = "doc_id") -> DataFrame:
     """The columns key, declared, host and suffix of the rows, with language, posterior, gain and accepted.
 
     docs: (key, text, declared, host, suffix), any of which may be null. A null tag, suffix or host gives no evidence. A
@@ -150,7 +156,7 @@ def identify(docs: DataFrame, model: LanguageModel, strength: float = 20.0, acce
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ev, gain = shared.value.evidence(batch.column("text"))
+            ev, gain = shared.value.evidence(batch.column("text"), effective)
             flat = pa.array(ev.ravel())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, ev.shape[1]), pa.int32()), flat)
             columns = [batch.column(c) for c in (key, "declared", "host", "suffix")] + [lists, pa.array(gain), pa.array(ev.argmax(axis=1).astype(np.int32))]
@@ -205,20 +211,33 @@ def identify(docs: DataFrame, model: LanguageModel, strength: float = 20.0, acce
     return out.select(key, "declared", "host", "suffix", best.alias("language"), "posterior", "gain", (fits & (F.col("posterior") >= accept)).alias("accepted"))
 
 
+def suffix_of(host: Column) -> Column:
+    """The last label of a host name of two labels or more, else null."""
+    return F.nullif(F.regexp_extract(F.lower(host), r"^[^/\s]+\.([a-z]+)$", 1), F.lit("")).alias("suffix")
+
+
 def document_languages(docs: DataFrame, **options) -> DataFrame:
-    """identify() over (doc_id, text, lang, source): the tag is the declared language and the source stands for the host."""
+    """identify() over (doc_id, text, lang, source, ...): the tag is the declared language, the source stands for the host.
+
+    Where a source is a host name, its last label is the suffix. Nulls in any column give no evidence; repeated rows are
+    judged alike; an empty table gives an empty table; other columns are ignored.
+    """
     model = train_languages(docs)
-    rows = docs.select("doc_id", "text", F.col("lang").alias("declared"), F.col("source").alias("host"), F.lit(None).cast("string").alias("suffix"))
+    rows = docs.select("doc_id", "text", F.col("lang").alias("declared"), F.col("source").alias("host"), suffix_of(F.col("source")))
     return identify(rows, model, **options)
 
 
 def page_languages(pages: DataFrame, docs: DataFrame, **options) -> DataFrame:
-    """identify() over (page_id, url, html): the html tag's lang, the host's last label and the host, models from docs."""
+    """identify() over (page_id, url, html, ...): the html tag's lang, the host's last label and the host, models from docs.
+
+    A null or empty html has no text evidence; a url without a host has no host and suffix. Repeated rows are judged alike; an
+    empty table gives an empty table; other columns are ignored.
+    """
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
     tag = F.lower(F.regexp_extract("html", r"(?i)<html\b[^>]*\blang\s*=\s*[\"']?([A-Za-z]+)", 1))
     plain = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"<[^>]*>", " ")
     rows = pages.select(
         "page_id", plain.alias("text"), F.nullif(tag, F.lit("")).alias("declared"), F.nullif(host, F.lit("")).alias("host"),
-        F.nullif(F.regexp_extract(host, r"\.([a-z]+)$", 1), F.lit("")).alias("suffix"),
+        suffix_of(host),
     )
     return identify(rows, train_languages(docs), key="page_id", **options)

@@ -16,98 +16,137 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .store import written
-from .textkernels import utf8_parts
+from .textkernels import slices, utf8_parts
 
-ITEM = "position int, kind string, text string, src string, digest string, caption string"
+ITEM = T.StructType([T.StructField("position", T.IntegerType()), *(T.StructField(c, T.StringType()) for c in ("kind", "text", "src", "digest", "caption"))])
 MEDIA_TAGS = {"img", "audio", "video", "source", "embed"}
-SILENT = {"script", "style", "template", "noscript", "head"}
+SILENT = {"script", "style", "template", "noscript", "head", "title"}
+IN_HEAD = {"title", "meta", "link", "base", "script", "style", "noscript", "template", "head"}
 BLOCKS = {"p", "div", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "table", "tr", "article", "section", "nav", "figure", "br", "body", "header", "footer", "blockquote", "pre"}
 
 
 class _Sequence(HTMLParser):
-    """Collects texts between blocks, and media with the figcaption of their figure, or else their alt text."""
+    """Collects texts between blocks, and media with the figcaption of their figure, or else their alt text.
+
+    A figure's captions are bound to its media when it closes, so they may stand on either side. The end tag of head is
+    optional: body, or the first tag that has no place in a head, ends it. Nothing inside silent tags is collected.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
         self.buffer: list[str] = []
-        self.silent = 0
-        self.figure: list[int] | None = None
-        self.caption: list[str] | None = None
+        self.silent: list[str] = []
+        self.figures: list[tuple[list[int], list[str]]] = []
+        self.captions = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.buffer).split())
         self.buffer = []
-        if text:
+        if text and self.captions and self.figures:
+            self.figures[-1][1].append(text)
+        elif text:
             self.items.append({"kind": "text", "text": text})
 
+    def close_figure(self) -> None:
+        self.flush()
+        media, said = self.figures.pop()
+        for k in media:
+            self.items[k]["caption"] = " ".join(said) or self.items[k]["caption"]
+
+    def end(self) -> None:
+        """What is still open ends with the document."""
+        self.flush()
+        while self.figures:
+            self.close_figure()
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        a = dict(attrs)
+        if self.silent and self.silent[-1] == "head" and tag not in IN_HEAD:
+            self.silent.pop()
         if tag in SILENT:
-            self.silent += 1
+            self.silent.append(tag)
+        if self.silent:
+            return
         if tag in BLOCKS or tag in MEDIA_TAGS:
             self.flush()
         if tag == "figure":
-            self.figure = []
+            self.captions = 0
+            self.figures.append(([], []))
         if tag == "figcaption":
             self.flush()
-            self.caption = []
+            self.captions += 1
+        a = dict(attrs)
         if tag in MEDIA_TAGS and (src := a.get("src")):
             digest = src.split(":", 2)[-1].lower() if src.startswith("digest:") else (a.get("data-sha256") or "").lower() or None
             self.items.append({"kind": "media", "src": src, "digest": digest, "caption": a.get("alt") or a.get("title")})
-            if self.figure is not None:
-                self.figure.append(len(self.items) - 1)
+            if self.figures:
+                self.figures[-1][0].append(len(self.items) - 1)
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self.handle_starttag(tag, attrs)
+        if tag in SILENT and self.silent:
+            self.silent.pop()
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in SILENT:
-            self.silent = max(0, self.silent - 1)
+        if tag in self.silent:
+            del self.silent[len(self.silent) - 1 - self.silent[::-1].index(tag) :]
+            return
+        if self.silent:
+            return
         if tag in BLOCKS:
             self.flush()
-        if tag == "figcaption" and self.caption is not None:
-            said = " ".join("".join(self.caption).split())
-            for k in self.figure or []:
-                self.items[k]["caption"] = said or self.items[k]["caption"]
-            self.caption = None
-        if tag == "figure":
-            self.figure = None
+        if tag == "figcaption" and self.captions:
+            self.flush()
+            self.captions -= 1
+        if tag == "figure" and self.figures:
+            self.close_figure()
+            self.captions = 0
 
     def handle_data(self, data: str) -> None:
-        if self.silent:
-            return
-        (self.buffer if self.caption is None else self.caption).append(data)
+        if not data.isspace() and self.silent == ["head"] and self.lasttag in ("head", "meta", "link", "base", "title", "script", "style"):
+            self.silent.pop()  # text has no place in a head
+        if not self.silent:
+            self.buffer.append(data)
 
 
 def sequence_of(html: str | None) -> list[dict]:
     p = _Sequence()
     p.feed(html or "")
     p.close()
-    p.flush()
+    p.end()
     empty = dict.fromkeys(("text", "src", "digest", "caption"))
     return [empty | x | {"position": k} for k, x in enumerate(p.items)]
 
 
-def interleave(docs: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """key and items (array of position, kind, text, src, digest, caption) of each row; null or empty html has no items."""
+def interleave(docs: DataFrame, key: str = "page_id", html: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, the columns of ``keep`` and items (array of position, kind, text, src, digest, caption) of each row.
+
+    Null or empty html has no items. Repeated rows have a sequence each.
+    """
+    kinds = pa.list_(pa.struct([("position", pa.int32()), *((c, pa.string()) for c in ("kind", "text", "src", "digest", "caption"))]))
+    names = [key, *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.list_(pa.struct([("position", pa.int32()), *((c, pa.string()) for c in ("kind", "text", "src", "digest", "caption"))]))
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([sequence_of(x) for x in part.column(1).to_pylist()], kinds)], ["key", "items"])
+                items = pa.array([sequence_of(x) for x in part.column(len(names)).to_pylist()], kinds)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], items], [*names, "items"])
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(html).alias("html")).mapInArrow(run, f"key long, items array<struct<{ITEM.replace(' int', ':int').replace(' string', ':string')}>>").withColumnRenamed("key", key)
+    rows = docs.select(*names, F.col(html).alias("own__html"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[: len(names)], T.StructField("items", T.ArrayType(ITEM))]))
 
 
-def resolve(sequences: DataFrame, media: DataFrame, key: str = "page_id") -> DataFrame:
+def resolve(sequences: DataFrame, media: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """One row for each item, in its position, with the columns of ``media`` (unique digest, ...) where its digest is there.
 
-    References without a payload keep their row with nulls. ``media`` should be a written table: the join then reads plain
-    shuffles of both sides, whose hot digests adaptive execution can split.
+    Payload columns come along as any other. References without a payload keep their row with nulls. ``media`` should be a
+    written table: the join then reads plain shuffles of both sides, whose hot digests adaptive execution can split.
     """
-    flat = sequences.select(key, F.explode("items").alias("item")).select(key, "item.*")
+    flat = sequences.select(*keep, F.explode("items").alias("item")).select(*keep, "item.*")
     return flat.join(media, "digest", "left")
 
 
@@ -140,9 +179,9 @@ def store_texts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                data, offsets = utf8_parts(part.column(1))
+            all_data, all_offsets = utf8_parts(batch.column(1))
+            for at, end, data, offsets in slices(all_data, all_offsets, 16 << 20):
+                part = batch.slice(at, end - at)
                 raw = data.tobytes()
                 n = np.diff(offsets)
                 padded = np.maximum(WIDTH, -(-n // WIDTH) * WIDTH)
@@ -172,24 +211,26 @@ def read_media(stored: DataFrame) -> DataFrame:
 
 
 def document_media(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and the media facts of every row of (doc_id, text, ...).
+    """doc_id, n_bytes, the media facts, position and caption of every row of (doc_id, text, ...).
 
-    Each text becomes a stored image; each document becomes a page with one figure that names the image by digest. The
-    pages are parsed into sequences, and a join on the digest resolves the one reference of each. Null texts count as
-    empty (64 zero bytes); equal texts have equal facts and one row in the media table; repeated rows keep their number.
+    Each text becomes a stored image; each document becomes a page of a heading, a figure that names the image by digest,
+    with its caption, and a last line. The pages are parsed into sequences of three items, and a join on the digest resolves
+    the reference at position 1 of each. Null texts count as empty (64 zero bytes); equal texts have equal facts and one
+    row in the media table; repeated rows keep their number, null ids are kept.
     """
-    rows = docs.select("doc_id", "text")
-    stored = written(store_texts(rows), "media")
+    stored = written(store_texts(docs.select("doc_id", "text")), "media")
     facts = written(read_media(stored).dropDuplicates(["digest"]), "facts")
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))
     pages = stored.select(
-        F.monotonically_increasing_id().alias("page_id"), "doc_id", "n_bytes",
-        F.concat(F.lit('<html><body><figure><img src="digest:sha256:'), "digest", F.lit('"><figcaption>document '), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")),
-                 F.lit(", "), F.col("n_bytes").cast("string"), F.lit(" bytes</figcaption></figure></body></html>")).alias("html"),
-    )
-    sequences = interleave(pages.select("page_id", "html"))
-    shown = resolve(sequences, facts).where("kind = 'media'")
-    return shown.select(
-        F.expr("try_cast(regexp_extract(caption, '^document (\\\\S+), (\\\\d+) bytes$', 1) as bigint)").alias("doc_id"),
-        F.expr("cast(regexp_extract(caption, '^document (\\\\S+), (\\\\d+) bytes$', 2) as bigint)").alias("n_bytes"),
-        "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption",
+        "doc_id", "n_bytes",
+        F.concat(F.lit("<!DOCTYPE html><html><head><title>"), name, F.lit("</title><body><h1>Document "), name, F.lit('</h1><figure><figcaption>'),
+                 F.col("n_bytes").cast("string"), F.lit(' bytes</figcaption><img src="digest:sha256:'), "digest", F.lit('" alt="text"></figure><p>End of document ')).alias("html"),
     )
+    shown = resolve(interleave(pages, "doc_id", keep=("n_bytes",)), facts, ("doc_id", "n_bytes")).where("kind = 'media'")
+    return shown.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+
+
+def page_items(pages: DataFrame) -> DataFrame:
+    """page_id, position, kind, n_chars of the text, src and caption of every item of (page_id, html, ...)."""
+    flat = interleave(pages, "page_id").select("page_id", F.explode("items").alias("item"))
+    return flat.select("page_id", "item.position", "item.kind", F.char_length("item.text").alias("n_chars"), F.sha2("item.text", 256).alias("text_sha256"), "item.src", "item.caption")

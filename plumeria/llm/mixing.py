@@ -45,8 +45,8 @@ def random_unit(seed: int, *cols: Column) -> Column:
     return (digits.cast("double") + 0.5) / float(16**12)
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 17, tilt: float = 0.25) -> DataFrame:
-    """doc_id, size, source_size, target and taken of every row of (doc_id, text, source, ...).
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 17, tilt: float = 0.25, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns of ``keep``, size, source_size, target and taken of every row of (doc_id, text, source, ...).
 
     Of a source with ``ratio = target / source_size``, each document has floor(ratio) certain whole copies. For the
     rest, document i has the inclusion probability ``p = f * (1 + d * (h - mean h))`` with ``f`` the ratio's fraction and
@@ -59,7 +59,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int
     A null or empty text has size 0 and takes 0; a null source is a source of its own, ordered last. Repeated rows are
     documents of their own that share their random number. An empty table gives an empty table. Other columns are ignored.
     """
-    rows = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    rows = written(docs.select("doc_id", *keep, "source", word_count(F.col("text")).alias("size")), "sizes")
     targets = written(source_targets(rows, weights, most), "targets")
     mean = rows.where("size > 0").groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
     mean = mean.select(F.col("source").alias("s0"), (F.col("total") / F.col("n")).alias("m"))
@@ -87,7 +87,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int
     drawn = drawn.withColumn("q", F.when(F.col("p") <= 0, 1.0).when(F.col("p") >= 1, 0.0).otherwise(odds / (1 + odds)))
     bins = max(16, int(rows.count() ** 0.5))
     drawn = drawn.withColumn("bin", F.least(F.floor(F.col("q") * bins), F.lit(bins - 1)).cast("int"))
-    drawn = written(drawn.select("doc_id", "source", "size", "source_size", "target", "whole", "f", "q", "bin"), "drawn")
+    drawn = written(drawn.select("doc_id", *keep, "source", "size", "source_size", "target", "whole", "f", "q", "bin"), "drawn")
     sums = drawn.groupBy("source", "bin").agg(F.sum("size").alias("words"))
     upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0)))
@@ -100,7 +100,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int
     inside = placed.where("bin = edge_bin").withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(rank), F.lit(0)))
     inside = inside.withColumn("more", F.when(F.col("ahead") + F.col("size") / 2 <= F.col("need"), 1).otherwise(0)).drop("ahead")
     out = below.unionByName(inside)
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.col("more"))).cast("long").alias("taken"))
+    return out.select("doc_id", *keep, "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.col("more"))).cast("long").alias("taken"))
 
 
 #: The same mix for DuckDB; the bins only speed up the ranking, so SQL ranks whole sources.

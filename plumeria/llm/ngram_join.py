@@ -8,7 +8,8 @@ Plan, with no collected state and no bound on partners:
    (about nine shingles each) make edges; their connected components are coarse clusters that hold every link.
 3. In each cluster, T-occurrence search: a query's longest inverted lists are put aside, the short ones are merged
    and candidates that can still reach the overlap T are probed by binary search in the long ones. Clusters over
-   ``block`` classes are searched in pairs of blocks, so that no task holds an unbounded group.
+   ``block`` shingles are cut into blocks at random. Each block is searched, and packed as shingle hashes for the
+   searches of pairs of blocks, so that no task holds an unbounded group and texts move once.
 4. Components of the links give the classes of documents.
 """
 
@@ -17,7 +18,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -30,7 +30,8 @@ from .textkernels import U, mix, shingle_sets
 from .workers import trimmed
 
 SETS = "doc_id long, n_shingles long, k1 long, k2 long"
-SIGNED = "bucket int, data binary"
+COUNTED = "bucket int, data binary"
+SIGNED = "bucket int, edges boolean, data binary"
 
 
 def set_keys(g: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,13 +114,7 @@ def coarse_edges(docs: DataFrame, sets: Callable, percent: int, buckets: int) ->
 
         def flush() -> pa.RecordBatch:
             sig, sid = (np.concatenate(x) for x in zip(*kept, strict=True))
-            bucket = (sig >> U(40)) % U(buckets)
-            order = np.argsort(bucket, kind="stable")
-            sig, sid, bucket = sig[order], sid[order], bucket[order].astype(np.int64)
-            cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            ends = np.append(cuts[1:], len(bucket))
-            blobs = [np.concatenate([sig[s:e], sid[s:e]]).tobytes() for s, e in zip(cuts, ends, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "data"])
+            return heads_of(sig, sid, buckets)
 
         for batch in batches:
             for _, _, g, o in sets(batch.column(0)):
@@ -138,21 +133,59 @@ def coarse_edges(docs: DataFrame, sets: Callable, percent: int, buckets: int) ->
         if kept:
             yield flush()
 
-    signed = docs.select("text").mapInArrow(trimmed(sign), SIGNED)
-    return signed.groupBy("bucket").applyInPandas(_link, "a long, b long")
+    return linked(docs.select("text").mapInArrow(trimmed(sign), SIGNED), buckets)
 
 
-def _link(group: pd.DataFrame) -> pd.DataFrame:
-    """Edges of one bucket: every set with the first set of the same signature."""
-    halves = [np.frombuffer(x, U).reshape(2, -1) for x in group["data"]]
-    sig, sid = (np.concatenate([h[k] for h in halves]) for k in (0, 1))
+def first_of(sig: np.ndarray, sid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures in order, their sets, and the first set of each one's signature."""
     order = np.lexsort((sid, sig))
     sig, sid = sig[order], sid[order]
     first = np.concatenate([[True], sig[1:] != sig[:-1]])
-    head = sid[np.flatnonzero(first)][np.cumsum(first) - 1]
+    return sig, sid, sid[np.flatnonzero(first)][np.cumsum(first) - 1]
+
+
+def heads_of(sig: np.ndarray, sid: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Rows for the buckets: the first set of each signature here, and edges of the other sets with it.
+
+    So a bucket gets one entry for a signature from each batch at most, however many sets have it.
+    """
+    sig, sid, head = first_of(sig, sid)
     far = sid != head
-    pairs = np.unique(np.stack([sid[far], head[far]]), axis=1) if far.any() else np.zeros((2, 0), U)
-    return pd.DataFrame({"a": pairs[0].view(np.int64), "b": pairs[1].view(np.int64)})
+    lead = np.concatenate([[True], sig[1:] != sig[:-1]])
+    bucket = ((sig[lead] >> U(40)) % U(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    own, first = sig[lead][order], sid[lead][order]
+    rows = [(v, False, np.concatenate([own[s:e], first[s:e]]).tobytes()) for v, s, e in runs_of(bucket[order])]
+    if far.any():
+        pairs = np.unique(np.stack([sid[far], head[far]]), axis=1)
+        rows.append((int(pairs[0, 0] % U(buckets)), True, pairs.tobytes()))
+    to, edges, data = zip(*rows, strict=True)
+    return batch_of(bucket=pa.array(to, pa.int32()), edges=pa.array(edges), data=pa.array(data, pa.binary()))
+
+
+def linked(signed: DataFrame, buckets: int) -> DataFrame:
+    """Edges (a, b) of every set with the first set of each of its signatures, of that batch or of all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+
+        def edges(pairs: np.ndarray) -> pa.RecordBatch:
+            return batch_of(a=pa.array(pairs[0].view(np.int64)), b=pa.array(pairs[1].view(np.int64)))
+
+        for batch in batches:
+            for known, blob in zip(batch.column("edges").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                pair = np.frombuffer(blob, U).reshape(2, -1)
+                if known:
+                    yield edges(pair)
+                else:
+                    held.append(pair)
+        if held:
+            sig, sid, head = first_of(*np.concatenate(held, axis=1))
+            far = sid != head
+            if far.any():
+                yield edges(np.unique(np.stack([sid[far], head[far]]), axis=1))
+
+    return signed.repartitionById(buckets, "bucket").mapInArrow(trimmed(run), "a long, b long")
 
 
 def _rows_of(bucket: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
@@ -185,7 +218,7 @@ def rare_edges(docs: DataFrame, sets: Callable, percent: int, buckets: int, by_l
             times = np.repeat(np.minimum(count, 255), count).astype(np.uint8)
             keep = np.ones(len(token), bool)
             keep[1:] = (token[1:] != token[:-1]) | (to[1:] != to[:-1])
-            token, to, times = token[keep], to[keep].astype(np.uint16), times[keep]
+            token, to, times = token[keep], to[keep].astype(np.int32), times[keep]
             order = np.lexsort((to, (token >> U(40)) % U(buckets)))
             token, to, times = token[order], to[order], times[order]
             return _rows_of((token >> U(40)) % U(buckets), (token & U(0xFFFFFFFF)).astype(np.uint32), to, times)
@@ -209,7 +242,7 @@ def rare_edges(docs: DataFrame, sets: Callable, percent: int, buckets: int, by_l
         got: list[tuple] = []
         for batch in batches:
             for blob in batch.column("data").to_pylist():
-                got.append((*unpack(blob, np.uint32, np.uint16, np.uint8), len(got)))
+                got.append((*unpack(blob, np.uint32, np.int32, np.uint8), len(got)))
         if not got:
             return
         finger, to, times = (np.concatenate([g[c] for g in got]) for c in range(3))
@@ -235,7 +268,7 @@ def rare_edges(docs: DataFrame, sets: Callable, percent: int, buckets: int, by_l
             kinds = batch.column("kind").to_numpy(zero_copy_only=False)
             for r in np.flatnonzero(kinds == 0):
                 finger, total, bucket = unpack(batch.column("data")[int(r)].as_py(), np.uint32, np.uint8, np.int32)
-                got.append(((finger.astype(U) << U(20)) | bucket.astype(U), total))
+                got.append(((finger.astype(U) << U(24)) | bucket.astype(U), total))
             docs = np.flatnonzero(kinds == 1)
             if known is None and len(docs):
                 known, totals = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, U), np.zeros(0, np.uint8))
@@ -248,7 +281,7 @@ def rare_edges(docs: DataFrame, sets: Callable, percent: int, buckets: int, by_l
                 sig, sid = [], []
                 for _, _, g, o in sets(texts):
                     sizes = np.diff(o)
-                    full = ((g & U(0xFFFFFFFF)) << U(20)) | ((g >> U(40)) % U(buckets))
+                    full = ((g & U(0xFFFFFFFF)) << U(24)) | ((g >> U(40)) % U(buckets))
                     at = np.minimum(np.searchsorted(known, full), len(known) - 1)
                     total = np.where(known[at] == full, totals[at], 1)
                     row = np.repeat(np.arange(len(sizes)), sizes)
@@ -264,19 +297,14 @@ def rare_edges(docs: DataFrame, sets: Callable, percent: int, buckets: int, by_l
                     sig.append(sent)
                     sid.append(k1[to])
                 sig, sid = np.concatenate(sig), np.concatenate(sid)
-                if not len(sig):
-                    continue
-                bucket = (sig >> U(40)) % U(buckets)
-                order = np.argsort(bucket, kind="stable")
-                sig, sid, bucket = sig[order], sid[order], bucket[order]
-                rows = [(v, np.concatenate([sig[s:e], sid[s:e]]).tobytes()) for v, s, e in runs_of(bucket.astype(np.int64))]
-                yield batch_of(bucket=pa.array([v for v, _ in rows], pa.int32()), data=pa.array([b for _, b in rows], pa.binary()))
+                if len(sig):
+                    yield heads_of(sig, sid, buckets)
 
     plain = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    counted = plain.mapInArrow(trimmed(fingers), SIGNED).repartitionById(buckets, "bucket").mapInArrow(trimmed(count), "home int, data binary")
+    counted = plain.mapInArrow(trimmed(fingers), COUNTED).repartitionById(buckets, "bucket").mapInArrow(trimmed(count), "home int, data binary")
     both = counted.withColumn("kind", F.lit(0)).unionByName(plain.mapInArrow(trimmed(send_texts(buckets)), "home int, data binary").withColumn("kind", F.lit(1)))
     signed = both.repartitionById(buckets, "home").sortWithinPartitions("kind").mapInArrow(trimmed(prefixes), SIGNED)
-    return signed.groupBy("bucket").applyInPandas(_link, "a long, b long")
+    return linked(signed, buckets)
 
 
 def divide_skip(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int, mu: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
@@ -284,7 +312,7 @@ def divide_skip(left: list[np.ndarray], right: list[np.ndarray] | None, percent:
 
     The inverted lists cover the indexed sets. For a query with least overlap T, the L = T / (mu log2 M + 1) longest
     lists are put aside; the others are merged, and what occurs T - L times is probed in the long lists by binary
-    search over the postings.
+    search over the postings. Of a list that holds more than half of the sets, its complement is read instead.
     """
     index = left if right is None else right
     m = len(index)
@@ -295,6 +323,13 @@ def divide_skip(left: list[np.ndarray], right: list[np.ndarray] | None, percent:
     postings = np.sort(ids.astype(np.int64) * m + owner)  # lists in order of token, owners ascending
     start = np.searchsorted(postings, np.arange(len(vocabulary) + 1) * m)
     length = np.diff(start)
+    common = np.flatnonzero(2 * length > m)
+    lacks = [np.setdiff1d(np.arange(m), postings[start[k] : start[k + 1]] - k * m, assume_unique=True) for k in common.tolist()]
+    lack_length = np.array([len(x) for x in lacks], np.int64)
+    lack_start = np.cumsum(lack_length) - lack_length
+    lack_owner = np.concatenate(lacks) if lacks else np.zeros(0, np.int64)
+    common_at = np.full(len(vocabulary), -1)
+    common_at[common] = np.arange(len(common))
     out_a, out_b = [], []
     for i, q in enumerate(left):
         s = len(q)
@@ -319,6 +354,12 @@ def divide_skip(left: list[np.ndarray], right: list[np.ndarray] | None, percent:
         who, count = who[fits], count[fits]
         if not len(who):
             continue
+        full = common_at[long]
+        full, long = full[full >= 0], long[full < 0]
+        if len(full):
+            runs = lack_length[full]
+            step = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
+            count += len(full) - np.bincount(lack_owner[np.repeat(lack_start[full], runs) + step], minlength=m)[who]
         if len(long):
             for a in range(0, len(who), 4096):
                 probe = long[None, :] * m + who[a : a + 4096, None]
@@ -351,50 +392,96 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _search(make: Callable, percent: int):
-    """mapInPandas function over rows sorted by (cluster, i, j): links of each pair of blocks."""
-
-    def sets_of(texts: list[str]) -> list[np.ndarray]:
-        return [g[o[r] : o[r + 1]] for i, j, g, o in make(pa.array(texts, pa.string())) for r in range(j - i)]
-
-    def solve(part: pd.DataFrame) -> list[tuple]:
-        own, ids, copies = part["blk"].to_numpy(), part["doc_id"].to_numpy(), part["copies"].to_numpy()
-        i, j = part["i"].iloc[0], part["j"].iloc[0]
-        sets = sets_of(part["text"].tolist())
-        lo, hi = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        if i == j:
-            x, y = divide_skip([sets[k] for k in lo], None, percent)
-            x, y = lo[x], lo[y]
-        else:
-            x, y = divide_skip([sets[k] for k in lo], [sets[k] for k in hi], percent)
-            x, y = lo[x], hi[y]
-        more = np.bincount(x, copies[y], len(ids)) + np.bincount(y, copies[x], len(ids)) if len(x) else np.zeros(len(ids))
-        rows = [(int(ids[p]), int(ids[q]), 0) for p, q in forest(x, y)]
-        return rows + [(int(ids[k]), None, int(more[k])) for k in np.flatnonzero(more)]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        now = None
-
-        def done(rows: list[tuple]) -> pd.DataFrame:
-            return pd.DataFrame({"a": pd.array([r[0] for r in rows], "Int64"), "b": pd.array([r[1] for r in rows], "Int64"), "links": pd.array([r[2] for r in rows], "Int64")})
-
-        for frame in frames:
-            for key, part in frame.groupby(["cluster", "i", "j"], sort=False):
-                if now is not None and key != now:
-                    if rows := solve(pd.concat(held).drop_duplicates(["doc_id", "text"])):
-                        yield done(rows)
-                    held = []
+def links_of(left: tuple, right: tuple | None, percent: int) -> tuple[list[tuple[int, int]], dict[int, int]]:
+    """Of one block (ids, copies, sets), or between two: a spanning forest of the links, and each id's number of links."""
+    ids, copies, sets = left
+    if right is None:
+        x, y = divide_skip(sets, None, percent)
+        other, times = ids, copies
+    else:
+        other, times, index = right
+        x, y = divide_skip(sets, index, percent)
+    more: dict[int, int] = {}
+    for own, n in ((ids, np.bincount(x, times[y], len(ids))), (other, np.bincount(y, copies[x], len(other)))) if len(x) else ():
+        for k in np.flatnonzero(n).tolist():
+            more[int(own[k])] = more.get(int(own[k]), 0) + int(n[k])
+    return forest(ids[x], other[y]), more
+
+
+FOUND = "a long, b long, links long"
+
+
+def _found(edges: list[tuple[int, int]], more: dict[int, int]) -> dict[str, pa.Array]:
+    return {
+        "a": pa.array([a for a, _ in edges] + list(more), pa.int64()), "b": pa.array([b for _, b in edges] + [None] * len(more), pa.int64()),
+        "links": pa.array([0] * len(edges) + list(more.values()), pa.int64()),
+    }
+
+
+def _own_block(make: Callable, percent: int):
+    """mapInArrow function over texts sorted by (cluster, blk): links inside each block, and blocks of larger clusters, packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def solve() -> Iterator[pa.RecordBatch]:
+            part = pa.Table.from_batches(held)
+            ids, copies = part.column("doc_id").to_numpy(), part.column("copies").to_numpy()
+            sets = [g[o[r] : o[r + 1]] for i, j, g, o in make(part.column("text")) for r in range(j - i)]
+            own = np.sort(np.unique(ids, return_index=True)[1])  # of rows with one id, the first
+            ids, copies, sets = ids[own], copies[own], [sets[k] for k in own]
+            found = _found(*links_of((ids, copies, sets), None, percent))
+            n = len(found["a"])
+            none = {"cluster": pa.int64(), "nb": pa.int32(), "blk": pa.int32(), "data": pa.binary()}
+            if n:
+                yield batch_of(**found, **{c: pa.nulls(n, kind) for c, kind in none.items()})
+            if now[1] > 1:
+                blob = pack(ids, copies, np.array([len(x) for x in sets]), np.concatenate(sets))
+                row = {c: pa.array([v], kind) for (c, kind), v in zip(none.items(), (*now, blob), strict=True)}
+                yield batch_of(a=pa.nulls(1, pa.int64()), b=pa.nulls(1, pa.int64()), links=pa.nulls(1, pa.int64()), **row)
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("cluster", "nb", "blk")), strict=True))
+            cut = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
+            for s, e in zip(cut, cut[1:]):
+                if e > s:
+                    if held and keys[s] != now:
+                        yield from solve()
+                        held = []
+                    now = keys[s]
+                    held.append(batch.slice(s, e - s))
+        if held:
+            yield from solve()
+
+    return run
+
+
+def _two_blocks(percent: int):
+    """mapInArrow function over packed blocks sorted by (cluster, i, j): links between the two blocks of each pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def block(blob: bytes) -> tuple:
+            ids, copies, size, flat = unpack(blob, np.int64, np.int64, np.int64, U)
+            return ids, copies, np.split(flat, np.cumsum(size)[:-1])
+
+        for batch in batches:
+            for r in range(batch.num_rows):
+                key = tuple(batch.column(c)[r].as_py() for c in ("cluster", "i", "j"))
+                held = held if key == now else []
                 now = key
-                held.append(part)
-        if held and (rows := solve(pd.concat(held).drop_duplicates(["doc_id", "text"]))):
-            yield done(rows)
+                held.append(batch.column("data")[r].as_py())
+                if len(held) == 2:
+                    found = _found(*links_of(block(held[0]), block(held[1]), percent))
+                    if len(found["a"]):
+                        yield batch_of(**found)
 
     return run
 
 
 def ngram_jaccard_join(
-    docs: DataFrame, words: int = 5, percent: int = 80, block: int = 128, partition_bytes: int = 32 << 20, make: Callable | None = None, by_length: bool = False
+    docs: DataFrame, words: int = 5, percent: int = 80, block: int = 200_000, partition_bytes: int = 32 << 20, make: Callable | None = None, by_length: bool = False
 ) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links of every document of (doc_id, text, ...).
 
@@ -402,7 +489,7 @@ def ngram_jaccard_join(
     documents link when 100 * intersection >= percent * union. Null or empty texts, and texts without words, have an
     empty set, link with nothing and form their own component. Rows with a null doc_id are returned with a null
     component. Repeated rows link with each other. Other columns are ignored. ``make`` may name another kind of sets
-    of 64-bit hashes; ``by_length`` has the prefix filter keep to size classes, as the part signatures always do.
+    of 64-bit hashes (``block`` is of their number); ``by_length`` has the prefix filter keep to size classes, as the part signatures always do.
     """
     make = make or word_shingles(words)
     parts = max(64, text_bytes(docs) // partition_bytes)
@@ -412,26 +499,29 @@ def ngram_jaccard_join(
         sets.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes"
     )
     # under nine tenths, whole parts hold so few shingles that common lines would join most texts
-    edges = coarse_edges(docs, make, percent, parts) if percent >= 90 else rare_edges(docs, make, percent, min(parts, 60_000), by_length)
+    edges = coarse_edges(docs, make, percent, parts) if percent >= 90 else rare_edges(docs, make, percent, parts, by_length)
     clusters = connected_components(edges)
     members = written(
-        classes.join(clusters.select(F.col("node").alias("k1"), F.col("component").alias("cluster")), "k1").select("rep", "copies", "cluster", "k1"), "members"
+        classes.join(clusters.select(F.col("node").alias("k1"), F.col("component").alias("cluster")), "k1").select("rep", "copies", "cluster", "k1", "n_shingles"), "members"
     )
-    size = written(members.groupBy("cluster").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    size = members.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("shingles")).where("size > 1")
+    size = written(size.select("cluster", F.ceil(F.col("shingles") / block).cast("int").alias("nb")), "sizes")
     # block numbers are random, so that equal shares need no order of a whole cluster
     blocked = written(
-        members.join(size, "cluster").withColumn("nb", F.ceil(F.col("size") / block).cast("int"))
-        .withColumn("blk", F.pmod(F.xxhash64("k1", "rep"), "nb").cast("int"))
+        members.join(size, "cluster").withColumn("blk", F.pmod(F.xxhash64("k1", "rep"), "nb").cast("int"))
         .select(F.col("rep").alias("doc_id"), "copies", "cluster", "nb", "blk"),
         "blocked",
     )
     # by shuffle at every size: the members grow with the corpus
     texts = docs.select("doc_id", "text").where("text is not null").join(blocked.hint("merge"), "doc_id")
-    rows = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
-        "cluster", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "doc_id", "copies", "text"
-    )
-    spread = rows.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    found = written(spread.mapInPandas(_search(make, percent), "a long, b long, links long"), "links")
+    rows = texts.select("cluster", "nb", "blk", "doc_id", "copies", "text").repartition(parts, "cluster", "blk").sortWithinPartitions("cluster", "blk", "doc_id", "text")
+    inner = written(rows.mapInArrow(trimmed(_own_block(make, percent)), FOUND + ", cluster long, nb int, blk int, data binary"), "links")
+    # only the sets of clusters of several blocks meet again, packed: near copies share most of their hashes
+    pairs = inner.where("data is not null").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).where("other <> blk")
+    pairs = pairs.select("cluster", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "data")
+    pairs = pairs.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "blk")
+    outer = written(pairs.select("cluster", "i", "j", "data").mapInArrow(trimmed(_two_blocks(percent)), FOUND), "pairs")
+    found = inner.where("data is null").select("a", "b", "links").unionByName(outer)
     reached = connected_components(found.where("b is not null").select("a", "b"))
     links = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     named = written(

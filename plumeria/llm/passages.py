@@ -4,19 +4,21 @@ A k-byte string that two documents share holds the same *anchor* in both: the m-
 on ties. So all k-byte windows of the corpus fall into runs with one anchor, and equal windows meet in the bucket of
 their anchor's hash. The plan, with texts shuffled twice by document and nothing collected:
 
-1. Each document sends its anchors' short fingerprints to buckets; those seen in two documents are sent back.
+1. Each document sends its anchors' short fingerprints to buckets; those seen in two documents are sent back. Where one
+   task sees a fingerprint in two documents it tells their homes itself, so a bucket gets one entry a task at most.
 2. Documents send the *fragments* (a run of windows with one anchor, at most 2k-m bytes) of such anchors to buckets.
    Equal fragments of one batch are sent once, with their smallest document; the others are known to be removed.
+   Anchors of very many places are cut into single windows, which go by their own hash.
 3. A bucket builds the Burrows-Wheeler transform of its collection of fragments with common prefixes, column by column:
    each round inserts one symbol of every fragment, reading the transform and the prefix lengths of the round before
-   from a sequential file and writing the next. Runs of prefixes >= k are equal windows; their smallest document decides.
+   from a sequential file in blocks and writing the next. The two files are scratch of one task attempt and hold nothing
+   that another needs. Runs of prefixes >= k are equal windows; their smallest document decides.
 4. The removed ranges go back to their documents, which are cut.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
 import tempfile
 from collections.abc import Iterator
 
@@ -35,6 +37,10 @@ POS_BITS = 24
 FLUSH = 16 << 20
 #: Symbols of one collection, about; all strings of one anchor are in one.
 COLLECTION = 200_000
+#: Entries of the transform in memory at a time.
+BLOCK = 1 << 16
+#: Anchors with this many places are cut into windows; one in SAMPLE rows estimates them.
+HOT, SAMPLE = 200_000, 32
 
 
 def anchored(b: np.ndarray, offsets: np.ndarray, k: int, m: int) -> tuple[np.ndarray, ...]:
@@ -80,67 +86,88 @@ def pieces(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[tuple[int,
 FINGER = U((1 << 40) - 1)
 
 
+def bucket_of(anchor: np.ndarray, parts: int) -> np.ndarray:
+    """The bucket of each anchor, from the upper 40 bits of its hash."""
+    return ((anchor >> U(24)) % U(parts)).astype(np.int64)
+
+
 def _send_fingers(k: int, m: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
-        def flush() -> pa.RecordBatch:
-            finger, doc = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((doc, finger))
-            finger, doc = finger[order], doc[order]
-            same = finger[1:] == finger[:-1]
-            differs = np.zeros(len(finger), np.int64)
-            differs[1:] = same & (doc[1:] != doc[:-1])
-            group = np.cumsum(np.concatenate([[True], ~same])) - 1
-            many = np.bincount(group, differs) > 0
+        def flush() -> Iterator[pa.RecordBatch]:
+            anchor, doc = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((doc, anchor))
+            anchor, doc = anchor[order], doc[order]
+            first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+            many = np.repeat(doc[first] != doc[np.append(first[1:], len(doc)) - 1], np.diff(np.append(first, len(doc))))
             to = home(doc, parts)
-            # one entry for each fingerprint and home of a document that holds it
-            key = np.unique(np.stack([(finger >> U(20)) % U(parts), to.astype(U), finger, many[group].astype(U)]), axis=1)
-            bucket, blobs = [], []
-            for v, s, e in runs_of(key[0].astype(np.int64)):
-                bucket.append(v)
-                five = np.ascontiguousarray(key[2, s:e]).view(np.uint8).reshape(-1, 8)[:, :5]
-                blobs.append(pack(np.ascontiguousarray(five).ravel(), key[1, s:e].astype(np.int32), key[3, s:e].astype(np.uint8)))
-            return batch_of(bucket=pa.array(bucket, pa.int32()), data=pa.array(blobs, pa.binary()))
-
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for i, _, _, b, o in pieces(*utf8_parts(batch.column(1)), k):
+            # two documents here have it: their homes are told at once, and the bucket gets one entry, however hot it is
+            told = np.unique(np.stack([to[many].astype(U), anchor[many] & FINGER]), axis=1)
+            for v, s, e in runs_of(told[0].astype(np.int64)):
+                yield _row(v, True, told[1, s:e])
+            once = np.concatenate([first[~many[first]], first[many[first]]])
+            where = np.where(many[once], -1, to[once])
+            bucket = bucket_of(anchor[once], parts)
+            order = np.lexsort((anchor[once] & FINGER, where, bucket))
+            once, where, bucket = once[order], where[order], bucket[order]
+            for v, s, e in runs_of(bucket):
+                yield _row(v, False, anchor[once[s:e]] & FINGER, where[s:e])
+
+        def _row(to: int, known: bool, finger: np.ndarray, where: np.ndarray | None = None) -> tuple[int, bool, bytes]:
+            five = np.ascontiguousarray(finger).view(np.uint8).reshape(-1, 8)[:, :5]
+            return to, known, pack(np.ascontiguousarray(five).ravel(), *(() if where is None else (where.astype(np.int32),)))
+
+        def batch() -> pa.RecordBatch:
+            to, known, data = zip(*flush(), strict=True)
+            return batch_of(bucket=pa.array(to, pa.int32()), known=pa.array(known), data=pa.array(data, pa.binary()))
+
+        for part in batches:
+            ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for i, _, _, b, o in pieces(*utf8_parts(part.column(1)), k):
                 row, _, _, anchor, _ = anchored(b, o, k, m)
-                finger = anchor & FINGER
-                held.append((finger, ids[i + row]))
+                if len(anchor):
+                    held.append((anchor, ids[i + row]))
                 size += len(b)
-                if size > FLUSH:
-                    yield flush()
+                if size > FLUSH and held:
+                    yield batch()
                     held, size = [], 0
         if held:
-            yield flush()
+            yield batch()
 
     return run
 
 
+def _fingers(five: np.ndarray) -> np.ndarray:
+    wide = np.zeros((len(five) // 5, 8), np.uint8)
+    wide[:, :5] = five.reshape(-1, 5)
+    return wide.view(U).ravel()
+
+
 def _shared_fingers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One bucket: fingerprints of two documents or more, for each home."""
+    """One bucket: fingerprints of two documents or more, for each home; what homes are told goes on to them."""
     got: list[tuple] = []
     for batch in batches:
-        for blob in batch.column("data").to_pylist():
-            five, to, many = unpack(blob, np.uint8, np.int32, np.uint8)
-            wide = np.zeros((len(to), 8), np.uint8)
-            wide[:, :5] = five.reshape(-1, 5)
-            got.append((wide.view(U).ravel(), to, many, np.full(len(to), len(got), np.int32)))
+        for to, known, blob in zip(batch.column("bucket").to_pylist(), batch.column("known").to_pylist(), batch.column("data").to_pylist(), strict=True):
+            if known:
+                yield batch_of(home=pa.array([to], pa.int32()), data=pa.array([blob], pa.binary()))
+            else:
+                five, where = unpack(blob, np.uint8, np.int32)
+                got.append((_fingers(five), where, np.full(len(where), len(got), np.int32)))
     if not got:
         return
-    finger, to, many, sender = (np.concatenate(x) for x in zip(*got, strict=True))
+    finger, to, sender = (np.concatenate(x) for x in zip(*got, strict=True))
     order = np.argsort(finger, kind="stable")
-    finger, to, many, sender = finger[order], to[order], many[order], sender[order]
+    finger, to, sender = finger[order], to[order], sender[order]
     first = np.flatnonzero(np.concatenate([[True], finger[1:] != finger[:-1]]))
-    shared = (np.maximum.reduceat(many, first) > 0) | (np.minimum.reduceat(sender, first) != np.maximum.reduceat(sender, first))
-    keep = np.repeat(shared, np.diff(np.append(first, len(finger))))
+    shared = (np.minimum.reduceat(to, first) < 0) | (np.minimum.reduceat(sender, first) != np.maximum.reduceat(sender, first))
+    keep = np.repeat(shared, np.diff(np.append(first, len(finger)))) & (to >= 0)
     finger, to = finger[keep], to[keep]
     order = np.argsort(to, kind="stable")
     finger, to = finger[order], to[order]
     for v, s, e in runs_of(to):
-        yield batch_of(home=pa.array([v], pa.int32()), data=pa.array([pack(np.unique(finger[s:e]))], pa.binary()))
+        five = np.ascontiguousarray(np.ascontiguousarray(np.unique(finger[s:e])).view(np.uint8).reshape(-1, 8)[:, :5]).ravel()
+        yield batch_of(home=pa.array([v], pa.int32()), data=pa.array([pack(five)], pa.binary()))
 
 
 def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,15 +184,42 @@ def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return doc[first], start[first], reach[np.append(first[1:], len(doc)) - 1]
 
 
-def _send_fragments(k: int, m: int, parts: int):
+def split_windows(fragments: tuple[np.ndarray, ...], hot: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """Fragments (document, place, length, anchor, content, bytes) with those of hot anchors cut into single windows.
+
+    A window goes by its own hash then, so that no bucket and no collection holds all strings of an anchor that recurs
+    in very many contexts.
+    """
+    doc, at, length, anchor, content, text = fragments
+    if not len(hot):
+        return fragments
+    is_hot = hot[np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)] == anchor
+    if not is_hot.any():
+        return fragments
+    place = np.cumsum(length) - length
+    count = length[is_hot] - k + 1
+    step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    start = np.repeat(place[is_hot], count) + step
+    sums = np.concatenate([[U(0)], np.cumsum((text.astype(U) + U(1)) * powers(BASE, len(text)))])
+    own = mix((sums[start + k] - sums[start]) * powers(BASE_INV, len(text))[start] + U(k) * U(0xD6E8FEB86659FD93))
+    cold = ~is_hot
+    flat = text[np.repeat(place[cold], length[cold]) + np.arange(length[cold].sum()) - np.repeat(np.cumsum(length[cold]) - length[cold], length[cold])]
+    windows = text[(start[:, None] + np.arange(k)).ravel()]
+    return (
+        np.concatenate([doc[cold], np.repeat(doc[is_hot], count)]), np.concatenate([at[cold], np.repeat(at[is_hot], count) + step]),
+        np.concatenate([length[cold], np.full(len(start), k)]), np.concatenate([anchor[cold], mix(own + U(0x5851F42D4C957F2D))]),
+        np.concatenate([content[cold], own]), np.concatenate([flat, windows]),
+    )
+
+
+def _send_fragments(k: int, m: int, parts: int, hot: np.ndarray):
     """Rows of one home: kind 0 with shared fingerprints, then kind 1 with packed documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared, known, held, size = [], None, [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            doc, at, length, anchor, content = (np.concatenate([h[c] for h in held]) for c in range(5))
-            text = np.concatenate([h[5] for h in held])
+            doc, at, length, anchor, content, text = split_windows(tuple(np.concatenate([h[c] for h in held]) for c in range(6)), hot, k)
             place = np.cumsum(length) - length
             order = np.lexsort((at, doc, content))
             c, d = content[order], doc[order]
@@ -175,18 +229,17 @@ def _send_fragments(k: int, m: int, parts: int):
             send[order] = d == head
             local = merged(doc[~send], at[~send], (at + length)[~send])
             sel = np.flatnonzero(send)
-            bucket = ((anchor[sel] & FINGER) >> U(20)) % U(parts)
-            sel = sel[np.lexsort((at[sel], doc[sel], bucket))]
-            bucket = ((anchor[sel] & FINGER) >> U(20)) % U(parts)
+            sel = sel[np.lexsort((at[sel], doc[sel], bucket_of(anchor[sel], parts)))]
+            bucket = bucket_of(anchor[sel], parts)
             took = length[sel]
             step = np.arange(took.sum()) - np.repeat(np.cumsum(took) - took, took)
             flat = text[np.repeat(place[sel], took) + step]
             ends = np.cumsum(took)
             out = {"bucket": [], "data": []}
-            for v, s, e in runs_of(bucket.astype(np.int64)):
+            for v, s, e in runs_of(bucket):
                 x = sel[s:e]
                 out["bucket"].append(v)
-                out["data"].append(pack(anchor[x], doc[x], at[x], length[x].astype(np.uint8), flat[ends[s] - took[s] : ends[e - 1]], *(np.zeros(0, np.int64),) * 3))
+                out["data"].append(pack(anchor[x], doc[x], at[x], length[x].astype(np.uint16), flat[ends[s] - took[s] : ends[e - 1]], *(np.zeros(0, np.int64),) * 3))
             if len(local[0]):
                 out["bucket"].append(int(home(local[0][:1], parts)[0]))
                 out["data"].append(pack(*(np.zeros(0, np.int64),) * 5, *local))
@@ -195,7 +248,7 @@ def _send_fragments(k: int, m: int, parts: int):
         for batch in batches:
             kinds = batch.column("kind").to_numpy(zero_copy_only=False)
             for r in np.flatnonzero(kinds == 0):
-                shared.append(unpack(batch.column("data")[int(r)].as_py(), U)[0])
+                shared.append(_fingers(unpack(batch.column("data")[int(r)].as_py(), np.uint8)[0]))
             docs = np.flatnonzero(kinds == 1)
             if not len(docs):
                 continue
@@ -223,87 +276,124 @@ def _send_fragments(k: int, m: int, parts: int):
     return run
 
 
-def collection_bwt(text: np.ndarray, ends: np.ndarray, folder: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _symbol(x: np.ndarray) -> np.ndarray:
+    return (x >> U(56)).astype(np.int64)
+
+
+def _prefix(x: np.ndarray) -> np.ndarray:
+    return ((x >> U(44)) & U(0xFFF)).astype(np.int64)
+
+
+def _blocks(file, size: int) -> Iterator[np.ndarray]:
+    """The entries of a file, in order."""
+    file.seek(0)
+    at = 0
+    while at < size:
+        block = np.fromfile(file, U, min(BLOCK, size - at))
+        yield block
+        at += len(block)
+
+
+def collection_bwt(text: np.ndarray, ends: np.ndarray, files: list) -> Iterator[tuple[np.ndarray, ...]]:
     """BWT and common prefix lengths of a collection of short strings, one inserted symbol for each string and round.
 
     text holds symbols >= 1; string i is text[ends[i-1]:ends[i]] and ends in a terminator of its own, below all symbols.
-    Returns bwt (0: start of a string), lcp with the entry above, and each entry's string and suffix length. Every round
-    reads the transform of the round before from one sequential file and writes its own.
+    An entry holds its symbol (0: start of a string), its common prefix with the entry above, its suffix's length, each up
+    to 4095, and its string. Every round reads the transform of the round before from one of the two files in blocks, and
+    writes its own to the other; in memory are a block and one place for each string. Yields symbols, prefix lengths,
+    strings and suffix lengths of the last transform, block by block.
     """
     n = len(ends)
     length = np.diff(np.concatenate([[0], ends]))
     place = np.arange(n)  # where each string's latest suffix stands
     live = np.arange(n)
     closed = 0  # starts of strings, which are never extended
-    both = text[ends - 1].astype(np.uint16) << 8  # a symbol of the transform above its prefix length
-    path = os.path.join(folder, "0")
-    both.tofile(path)
+    here, there = files
+    here.seek(0)
+    ((text[ends - 1].astype(U) << U(56)) | np.arange(n, dtype=U)).tofile(here)
+    size = n
+    total = np.bincount(text[ends - 1], minlength=257)
     for t in range(1, int(length.max()) + 1):
-        both = np.fromfile(path, np.uint16)
-        bwt, lcp = (both >> 8).astype(np.uint8), (both & 0xFF).astype(np.uint8)
-        size = len(bwt)
-        order = np.argsort(bwt, kind="stable")
-        rank = np.empty(size, np.int32)
-        rank[order] = np.arange(size, dtype=np.int32)
         by_place = live[np.argsort(place[live])]
-        q = place[by_place]
-        c = bwt[q]
-        r = rank[q].astype(np.int64)
-        # the suffixes that stand next to the new one are extensions of the neighbouring occurrences of its symbol
-        up = order[np.maximum(r - 1, 0)]
-        has_up = (r > 0) & (bwt[up] == c)
-        down = order[np.minimum(r + 1, size - 1)]
-        has_down = (r + 1 < size) & (bwt[down] == c)
-        padded = np.append(lcp, np.uint8(0))
-        over = np.zeros(len(q), np.uint8)
-        under = np.zeros(len(q), np.uint8)
-        if has_up.any():
-            pair = np.stack([up[has_up] + 1, q[has_up] + 1], axis=1).ravel()
-            over[has_up] = np.minimum.reduceat(padded, pair)[::2] + np.uint8(1)
-        if has_down.any():
-            pair = np.stack([q[has_down] + 1, down[has_down] + 1], axis=1).ravel()
-            under[has_down] = np.minimum.reduceat(padded, pair)[::2] + np.uint8(1)
-        # terminators come first, then all suffixes by their first symbol, that is by the rank of that symbol
+        q, c = place[by_place], text[ends[by_place] - t].astype(np.int64)
+        below = np.cumsum(total) - total
+        r, over, under = np.empty(len(q), np.int64), np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
+        has_down = np.zeros(len(q), bool)
+        # pass 1: ranks, and prefixes shared with the neighbouring occurrences of the symbol, whose extensions stand next to the new suffix
+        seen, carry, waits = np.zeros(257, np.int64), np.full(257, 1 << 30), np.full(257, -1)
+        at = lo = 0
+        for block in _blocks(here, size):
+            hi = int(np.searchsorted(q, at + len(block)))
+            symbol, prefix = _symbol(block), _prefix(block)
+            order = np.argsort(symbol.astype(np.uint8), kind="stable")
+            count = np.bincount(symbol, minlength=257)
+            first = np.cumsum(count) - count
+            spot, own = np.empty(len(block), np.int64), np.flatnonzero(count)
+            spot[order] = np.arange(len(block))
+            least = np.minimum.accumulate(prefix)
+            mine, sym = q[lo:hi] - at, c[lo:hi]
+            k = spot[mine]
+            r[lo:hi] = below[sym] + seen[sym] + k - first[sym]
+            up = k > first[sym]
+            down = k + 1 < first[sym] + count[sym]
+            padded = np.append(prefix, 0)
+            if up.any():
+                pair = np.stack([order[k[up] - 1] + 1, mine[up] + 1], axis=1).ravel()
+                over[lo:hi][up] = np.minimum.reduceat(padded, pair)[::2] + 1
+            far = ~up & (seen[sym] > 0)
+            over[lo:hi][far] = np.minimum(carry[sym[far]], least[mine[far]]) + 1
+            if down.any():
+                pair = np.stack([mine[down] + 1, order[k[down] + 1] + 1], axis=1).ravel()
+                under[lo:hi][down] = np.minimum.reduceat(padded, pair)[::2] + 1
+                has_down[lo:hi] = down
+            # symbols whose next occurrence was awaited have it here
+            met = own[waits[own] >= 0]
+            under[waits[met]] = np.minimum(carry[met], least[order[first[met]]]) + 1
+            has_down[waits[met]] = True
+            waits[met] = -1
+            waits[sym[~down]] = np.arange(lo, hi)[~down]
+            rest = np.append(np.minimum.accumulate(prefix[::-1])[::-1], 1 << 30)
+            carry = np.minimum(carry, least[-1])
+            carry[own] = rest[order[first[own] + count[own] - 1] + 1]
+            seen += count
+            at, lo = at + len(block), hi
+        # pass 2: terminators come first, then all suffixes by their first symbol, that is by the rank of that symbol
         spot = n + r - closed
-        total = n + size - closed
-        old = np.ones(total, bool)
-        old[spot] = False
-        fresh = np.empty(total, np.uint16)
-        fresh[old] = both
-        before = ends[by_place] - t - 1
-        ended = length[by_place] == t
-        nxt = spot + 1
-        fix = has_down & (nxt < total)
-        fix[fix] = old[nxt[fix]]
-        fresh[nxt[fix]] = (fresh[nxt[fix]] & 0xFF00) | under[fix]
-        fresh[spot] = (np.where(ended, 0, text[np.maximum(before, 0)]).astype(np.uint16) << 8) | over
+        rank = np.argsort(spot)
+        ended = (length[by_place] == t)[rank]
+        before = text[np.maximum(ends[by_place[rank]] - t - 1, 0)].astype(np.int64)
+        symbol = np.where(ended, 0, before)
+        entry = (symbol.astype(U) << U(56)) | (over[rank].astype(U) << U(44)) | (U(t) << U(32)) | by_place[rank].astype(U)
+        old = spot[rank] - np.arange(len(rank))  # the entry that each new one is put before
+        fix = has_down[rank] & (np.append(np.diff(spot[rank]), 0) != 1)
+        there.seek(0)
+        at = lo = 0
+        for block in _blocks(here, size):
+            hi = int(np.searchsorted(old, at + len(block))) if at + len(block) < size else len(old)
+            mend = np.flatnonzero(fix[lo:hi] & (old[lo:hi] < size)) + lo
+            block[old[mend] - at] = (block[old[mend] - at] & ~U(0xFFF << 44)) | (under[rank][mend].astype(U) << U(44))
+            fresh = np.empty(len(block) + hi - lo, U)
+            mask = np.ones(len(fresh), bool)
+            new = old[lo:hi] - at + np.arange(hi - lo)
+            mask[new] = False
+            fresh[mask] = block
+            fresh[new] = entry[lo:hi]
+            fresh.tofile(there)
+            at, lo = at + len(block), hi
+        total += np.bincount(symbol, minlength=257)
         closed += int(ended.sum())
+        size += len(rank)
         place[by_place] = spot
-        live = by_place[~ended]
-        os.unlink(path)
-        path = os.path.join(folder, str(t))
-        fresh.tofile(path)
-        both = fresh
-    bwt, lcp = (both >> 8).astype(np.uint8), (both & 0xFF).astype(np.uint8)
-    os.unlink(path)
-    order = np.argsort(bwt, kind="stable")
-    rank = np.empty(len(bwt), np.int64)
-    rank[order] = np.arange(len(bwt))
-    shift = n - int((bwt == 0).sum())
-    owner, left = np.empty(len(bwt), np.int64), np.zeros(len(bwt), np.int64)
-    at, live = np.arange(n), np.arange(n)
-    owner[:n] = live
-    for t in range(1, int(length.max()) + 1):
-        live = live[length[live] >= t]
-        at[live] = rank[at[live]] + shift
-        owner[at[live]], left[at[live]] = live, t
-    return bwt, lcp, owner, left
+        live = by_place[length[by_place] > t]
+        here, there = there, here
+    for block in _blocks(here, size):
+        yield _symbol(block), _prefix(block), (block & U(0xFFFFFFFF)).astype(np.int64), ((block >> U(32)) & U(0xFFF)).astype(np.int64)
 
 
-def equal_windows(text: np.ndarray, ends: np.ndarray, doc: np.ndarray, anchor: np.ndarray, k: int) -> np.ndarray:
+def equal_windows(text: np.ndarray, ends: np.ndarray, doc: np.ndarray, anchor: np.ndarray, k: int, files: list) -> np.ndarray:
     """For each position of the strings, the smallest document of any string with the k-byte window that starts there.
 
-    Strings of one anchor form one collection with those of other anchors, as many as stay in a processor's cache.
+    Strings of one anchor form one collection with those of other anchors. A bucket's collections share two files.
     """
     out = np.full(len(text), np.iinfo(np.int64).max)
     order = np.argsort(anchor, kind="stable")
@@ -325,25 +415,22 @@ def equal_windows(text: np.ndarray, ends: np.ndarray, doc: np.ndarray, anchor: n
         took = length[sel]
         stop = np.cumsum(took)
         at = np.repeat(ends[sel] - stop, took) + np.arange(stop[-1])
-        out[at] = collection_windows(text[at], stop, doc[sel], k)
+        out[at] = collection_windows(text[at], stop, doc[sel], k, files)
     return out
 
 
-def collection_windows(text: np.ndarray, ends: np.ndarray, doc: np.ndarray, k: int) -> np.ndarray:
+def collection_windows(text: np.ndarray, ends: np.ndarray, doc: np.ndarray, k: int, files: list) -> np.ndarray:
     """equal_windows() of one collection, by its transform and common prefixes."""
     used = np.unique(text)
     code = np.zeros(256, np.uint8)
     code[used] = np.arange(1, len(used) + 1)
-    with tempfile.TemporaryDirectory() as folder:
-        _, lcp, owner, left = collection_bwt(code[text], ends, folder)
-    full = np.flatnonzero(left >= k)
-    new = np.concatenate([[True], np.diff(full) > 1]) if len(full) else np.zeros(0, bool)
-    new |= lcp[full] < k
-    first = np.flatnonzero(new)
+    found = [(prefix[full] < k, owner[full], left[full]) for _, prefix, owner, left in collection_bwt(code[text], ends, files) if len(full := np.flatnonzero(left >= k))]
     out = np.full(len(text), np.iinfo(np.int64).max)
-    if len(full):
-        least = np.minimum.reduceat(doc[owner[full]], first)
-        out[ends[owner[full]] - left[full]] = least[np.cumsum(new) - 1]
+    if found:
+        new, owner, left = (np.concatenate(x) for x in zip(*found, strict=True))
+        new[0] = True
+        least = np.minimum.reduceat(doc[owner], np.flatnonzero(new))
+        out[ends[owner] - left] = least[np.cumsum(new) - 1]
     return out
 
 
@@ -354,7 +441,7 @@ def _ranges(k: int, parts: int):
         got, local = [], []
         for batch in batches:
             for blob in batch.column("data").to_pylist():
-                *own, d, s, e = unpack(blob, U, np.int64, np.int64, np.uint8, np.uint8, np.int64, np.int64, np.int64)
+                *own, d, s, e = unpack(blob, U, np.int64, np.int64, np.uint16, np.uint8, np.int64, np.int64, np.int64)
                 # "own" of a blob with ranges only is empty
                 if len(own[0]):
                     got.append(own)
@@ -382,7 +469,8 @@ def _ranges(k: int, parts: int):
                 took = length[pick]
                 ends = np.cumsum(took)
                 flat = text[np.repeat(start[pick] - (ends - took), took) + np.arange(ends[-1])]
-                windows = equal_windows(flat, ends, least, anchor[sel][pick], k)
+                with tempfile.TemporaryFile() as one, tempfile.TemporaryFile() as two:
+                    windows = equal_windows(flat, ends, least, anchor[sel][pick], k, [one, two])
                 count = length - k + 1
                 step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 gone = windows[np.repeat((ends - took)[inverse], count) + step] < np.repeat(doc, count)
@@ -435,30 +523,66 @@ def _cut(names: list[str], with_text: bool):
     return run
 
 
-def dedup_passages(docs: DataFrame, k: int = 50, anchor: int = 18, with_text: bool = True, partition_bytes: int = 8 << 20) -> DataFrame:
+def hot_anchors(plain: DataFrame, k: int, m: int, hot: int, sample: int) -> np.ndarray:
+    """Anchors with about ``hot`` places or more, sorted, from one row in ``sample``.
+
+    This only balances load, as range partitioning does with its sample: results are the same for any set of hot anchors.
+    The estimate of ``hot`` places bounds the set to the corpus's places over ``hot``, some 500 bytes for each terabyte.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            anchor, n = np.unique(np.concatenate(held), return_counts=True)
+            return batch_of(anchor=pa.array(anchor[n > 1].view(np.int64)), n=pa.array(n[n > 1]))
+
+        for batch in batches:
+            for _, _, _, b, o in pieces(*utf8_parts(batch.column(0)), k):
+                held.append(anchored(b, o, k, m)[3])
+                size += len(b)
+                if size > FLUSH:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    some = plain.select("text").sample(1 / sample, 7) if sample > 1 else plain.select("text")
+    found = some.mapInArrow(trimmed(count), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") >= hot / sample)
+    return np.sort(np.array([r.anchor for r in found.select("anchor").collect()], np.int64).view(U))
+
+
+def dedup_passages(
+    docs: DataFrame, k: int = 50, anchor: int = 18, with_text: bool = True, partition_bytes: int = 8 << 20, hot: int = HOT, sample: int = SAMPLE
+) -> DataFrame:
     """The columns of docs (doc_id, text, ...) with the text cut, and n_bytes, n_removed, n_spans, kept_sha256.
 
     Removed is every byte covered by a k-byte string that also starts in a document with a smaller doc_id, judged on the
     input. kept_sha256 is of the kept bytes; ``text`` is what of them is whole characters (a null text is returned as
     empty). Texts shorter than k lose nothing. A row with a null doc_id is neither cut nor compared. Repeated rows have one
-    doc_id and so do not cut each other; a doc_id stands for one text. Columns named home, kind, data are not allowed.
+    doc_id and so do not cut each other; a doc_id stands for one text. Columns of docs named home, kind, data, n_bytes,
+    n_removed, n_spans or kept_sha256 are returned as own__home and so on. k is from ``anchor`` to 2,000.
     """
+    if not 0 < anchor <= k <= 2000:
+        raise ValueError("k has to be between the anchor's length and 2000")
     clash = {"home", "kind", "data", "n_bytes", "n_removed", "n_spans", "kept_sha256"} & set(docs.columns)
     renamed = docs.withColumnsRenamed({c: f"own__{c}" for c in clash})
     names = renamed.columns if with_text else ["doc_id"]
     parts = max(64, text_bytes(docs) // partition_bytes)
     plain = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    fingers = plain.mapInArrow(trimmed(_send_fingers(k, anchor, parts)), "bucket int, data binary")
+    often = hot_anchors(plain, k, anchor, hot, sample)
+    fingers = plain.mapInArrow(trimmed(_send_fingers(k, anchor, parts)), "bucket int, known boolean, data binary")
     shared = fingers.repartitionById(parts, "bucket").mapInArrow(trimmed(_shared_fingers), "home int, data binary")
 
     def at_home(left: DataFrame, right: DataFrame) -> DataFrame:
-        at = F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")
+        # null ids are neither cut nor compared, so any home will do
+        at = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(parts)).cast("int")
         there = right.withColumns({"home": at, "kind": F.lit(1), "data": F.lit(None).cast("binary")})
         both = left.withColumn("kind", F.lit(0)).unionByName(there, allowMissingColumns=True)
         return both.repartitionById(parts, "home").sortWithinPartitions("kind")
 
     packed = shared.withColumn("kind", F.lit(0)).unionByName(plain.mapInArrow(trimmed(send_texts(parts)), "home int, data binary").withColumn("kind", F.lit(1)))
-    fragments = packed.repartitionById(parts, "home").sortWithinPartitions("kind").mapInArrow(trimmed(_send_fragments(k, anchor, parts)), "bucket int, data binary")
+    fragments = packed.repartitionById(parts, "home").sortWithinPartitions("kind").mapInArrow(trimmed(_send_fragments(k, anchor, parts, often)), "bucket int, data binary")
     ranges = fragments.repartitionById(parts, "bucket").mapInArrow(trimmed(_ranges(k, parts)), "home int, data binary")
     ranges = written(ranges, "ranges")
     schema = T.StructType([f for f in renamed.schema.fields if f.name in names])

@@ -2,13 +2,19 @@
 
 The best path is searched with a window of boundaries no longer than the longest piece. Whenever all paths that survive
 in the window go through one boundary, the ids before it are committed and forgotten, so memory does not grow with the
-text. Where no piece of the vocabulary joins two neighbouring characters, every path has that boundary; with the usual
-vocabularies, whose pieces hold a space at their start only, that is before each word. Words are therefore searched
-apart, and each worker remembers the ids of words it has seen.
+text. Scores are whole numbers of micro nats, so that sums are exact and ids are those of a search over the whole text,
+ties included. Where no piece of the vocabulary joins two neighbouring characters, every path has that boundary; with the
+usual vocabularies, whose pieces hold a space at their start only, that is before each word. The stream commits there
+and its state is as at the start of a text, so the ids of a word do not depend on what is before it: each worker remembers
+the committed ids of words it has seen, and runs the search for the others.
+
+The given model is one of byte-pair merges, whose scores are merge ranks and no log probabilities. ``load_pieces`` gives its
+pieces log probabilities of their rank, so ids are those of a unigram model over its pieces, not those of its merges.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from array import array
 from collections.abc import Iterator
@@ -22,8 +28,8 @@ from .textkernels import slices, utf8_parts
 from .workers import trimmed
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: What an unknown character costs below the least score of a piece.
-UNKNOWN = 10.0
+#: What an unknown character costs below the least score of a piece, in micro nats.
+UNKNOWN = 10_000_000
 
 
 @dataclass
@@ -31,16 +37,17 @@ class Pieces:
     """A vocabulary: pieces with a plain space for the space mark, scores, byte pieces, and the unknown id."""
 
     texts: list[str]
-    scores: list[float]
+    scores: list[int]
     matched: list[bool]
     byte_ids: list[int]
     unknown: int
     prefix: bool = True
-    table: dict[str, tuple[int, float]] = field(default_factory=dict)
+    table: dict[str, tuple[int, int]] = field(default_factory=dict)
     trie: dict = field(default_factory=dict)
     longest: int = 1
     word_cuts: bool = True
-    floor: float = 0.0
+    floor: int = 0
+    window: int = 1
 
     def __post_init__(self) -> None:
         for k, (t, s, ok) in enumerate(zip(self.texts, self.scores, self.matched, strict=True)):
@@ -53,133 +60,133 @@ class Pieces:
             node[""] = hit
         self.longest = max(map(len, self.table), default=1)
         self.word_cuts = not any(re.search("[^ ] ", t) for t in self.table)
-        self.floor = min((s for _, s in self.table.values()), default=0.0) - UNKNOWN
+        self.floor = min((s for _, s in self.table.values()), default=0) - UNKNOWN
+        self.window = self.longest
 
 
-def zipf_scores(n: int) -> list[float]:
-    return [float(np.float32(-np.log(2.0 + k))) for k in range(n)]
+#: Micro nats in one nat.
+MICRO = 1_000_000
+
+
+def zipf_scores(n: int) -> list[int]:
+    return [round(-MICRO * math.log(2.0 + k)) for k in range(n)]
+
+
+def model_type(path: str) -> int:
+    """The trainer's model type in a SentencePiece file: 1 unigram (also where it is left out), 2 byte-pair merges, 3 words, 4 characters."""
+    with open(path, "rb") as f:
+        raw = f.read()
+
+    def varint(at: int) -> tuple[int, int]:
+        value = shift = 0
+        while True:
+            value |= (raw[at] & 127) << shift
+            at, shift = at + 1, shift + 7
+            if raw[at - 1] < 128:
+                return value, at
+
+    def fields(at: int, end: int) -> Iterator[tuple[int, int, int]]:
+        """Number, and value (of varints) or place and end of each field."""
+        while at < end:
+            key, at = varint(at)
+            if key & 7 == 0:
+                value, at = varint(at)
+                yield key >> 3, value, -1
+            else:
+                size, at = varint(at) if key & 7 == 2 else ((8, at) if key & 7 == 1 else (4, at))
+                yield key >> 3, at, at + size
+                at += size
+
+    for number, start, stop in fields(0, len(raw)):
+        if number == 2 and stop >= 0:  # the trainer's part
+            return next((v for k, v, e in fields(start, stop) if k == 3 and e < 0), 1)
+    return 1
 
 
 def load_pieces(path: str = VOCABULARY) -> Pieces:
     """Read a SentencePiece model file.
 
-    The scores of a unigram model are log probabilities and taken as they are. Those of a BPE model are negative merge
-    ranks, which no path sum makes sense of; its pieces get the log probability of their rank under Zipf's law,
-    ``-log(2 + rank)``, where the rank is the piece's id. Nothing is trained.
+    The scores of a unigram model are log probabilities and taken as they are. Those of any other type are no log
+    probabilities; its pieces get that of their rank under Zipf's law, ``-log(2 + rank)``, where the rank is the
+    piece's id. Nothing is trained.
     """
     import sentencepiece
 
     m = sentencepiece.SentencePieceProcessor(model_file=path)
     n = m.get_piece_size()
-    given = [m.get_score(k) for k in range(n)]
-    ranks = all(x == int(x) for x in given)
+    scores = [round(MICRO * m.get_score(k)) for k in range(n)] if model_type(path) == 1 else zipf_scores(n)
     special = [m.is_control(k) or m.is_unknown(k) or m.is_unused(k) or m.is_byte(k) for k in range(n)]
     names = [m.id_to_piece(k) for k in range(n)]
     byte_ids = [-1] * 256
     for k in range(n):
         if m.is_byte(k):
             byte_ids[int(names[k][3:5], 16)] = k
-    return Pieces([x.replace("▁", " ") for x in names], zipf_scores(n) if ranks else given, [not x for x in special], byte_ids, m.unk_id())
+    return Pieces([x.replace("▁", " ") for x in names], scores, [not x for x in special], byte_ids, m.unk_id())
 
 
 def stream(pieces: Pieces, text: str) -> Iterator[list[int]]:
     """Committed ids of the text, in order, each list as soon as all surviving paths agree on it.
 
-    Ties go to the longer last piece. A character that no piece matches costs the same as in a full search and becomes
-    its bytes' pieces, or the unknown id where the vocabulary has none.
+    Ties go to the longer last piece. A character that no piece matches becomes its bytes' pieces, or the unknown id where
+    the vocabulary has none. In memory are the boundaries from the last committed one on.
     """
-    table, longest, floor = pieces.table, pieces.longest, pieces.floor
+    trie, longest, floor = pieces.trie, pieces.longest, pieces.floor
     n = len(text)
     done = 0  # the boundary up to which ids are committed
-    best: dict[int, tuple[float, int, int]] = {0: (0.0, -1, -1)}  # boundary: score, boundary before, id (-1: unknown)
-    due = longest
+    best: list[tuple[int, int, int]] = [(0, -1, -1)]  # of the boundaries from done on: score, boundary before, id (-1: unknown)
+    ahead: list[tuple[int, int, int] | None] = []  # of the boundaries that pieces reach so far, behind the current one
 
-    def ids_between(a: int, b: int) -> list[int]:
+    def committed(end: int) -> list[int]:
         out: list[int] = []
-        while b > a:
-            _, before, k = best[b]
+        while end > done:
+            _, before, k = best[end - done]
             if k >= 0:
                 out.append(k)
             else:
-                raw = text[before:b].encode()
-                codes = [pieces.byte_ids[x] for x in raw]
+                codes = [pieces.byte_ids[x] for x in text[before:end].encode()]
                 out.extend(reversed(codes) if min(codes) >= 0 else [pieces.unknown])
-            b = before
+            end = before
         out.reverse()
         return out
 
-    for end in range(1, n + 1):
-        top, back, kind = -np.inf, -1, -1
-        for start in range(max(done, end - longest), end):
-            hit = table.get(text[start:end])
-            if hit is None:
-                if end - start > 1:
-                    continue
-                hit = (-1, floor)
-            state = best.get(start)
-            if state is not None and state[0] + hit[1] > top:
-                top, back, kind = state[0] + hit[1], start, hit[0]
-        best[end] = (top, back, kind)
-        if end >= due and end < n:
-            # the paths of all boundaries that a later piece can start from
-            live = set(range(max(done, end - longest + 1), end + 1))
-            while len(live) > 1:
-                last = max(live)
-                live.discard(last)
-                live.add(best[last][1] if best[last][1] >= 0 else last)
-                if max(live) <= done:
-                    break
-            at = max(live)
-            if len(live) == 1 and at > done:
-                yield ids_between(done, at)
-                for b in range(done, at):
-                    best.pop(b, None)
-                score, _, _ = best[at]
-                for b in range(at, end + 1):
-                    s, p, k = best[b]
-                    best[b] = (s - score, p, k)  # scores stay small in long texts
-                done = at
-            due = end + longest
-    if n > done:
-        yield ids_between(done, n)
-
-
-def short_word(pieces: Pieces, word: str, out: array) -> None:
-    """The same search for a word that fits in the window as a whole: committed once, at its end."""
-    n = len(word)
-    best = [-1e300] * (n + 1)
-    back, kind = [0] * (n + 1), [-1] * (n + 1)
-    best[0] = 0.0
-    floor, trie = pieces.floor, pieces.trie
     for start in range(n):
-        base = best[start]
-        node = trie
-        single = True
-        for end in range(start, n):
-            node = node.get(word[end])
+        score = best[start - done][0]
+        node, end, single = trie, start, True
+        while end < n:
+            node = node.get(text[end])
             if node is None:
                 break
+            end += 1
             hit = node.get("")
             if hit is not None:
-                if end == start:
-                    single = False
-                score = base + hit[1]
-                if score > best[end + 1]:
-                    best[end + 1], back[end + 1], kind[end + 1] = score, start, hit[0]
-        if single and base + floor > best[start + 1]:
-            best[start + 1], back[start + 1], kind[start + 1] = base + floor, start, -1
-    path = []
-    end = n
-    while end:
-        start, k = back[end], kind[end]
-        if k >= 0:
-            path.append(k)
-        else:
-            codes = [pieces.byte_ids[x] for x in word[start:end].encode()]
-            path.extend(reversed(codes) if min(codes) >= 0 else [pieces.unknown])
-        end = start
-    path.reverse()
-    out.extend(path)
+                single = single and end > start + 1
+                k = end - start - 1
+                while len(ahead) <= k:
+                    ahead.append(None)
+                if ahead[k] is None or score + hit[1] > ahead[k][0]:  # earlier starts, so longer pieces, come first
+                    ahead[k] = (score + hit[1], start, hit[0])
+        if not ahead:
+            ahead.append(None)
+        if single and (ahead[0] is None or score + floor > ahead[0][0]):
+            ahead[0] = (score + floor, start, -1)
+        best.append(ahead.pop(0))
+        at = start + 1
+        if at < n and at - done >= pieces.window:
+            # follow the paths of all boundaries that a later piece can start from, or that a piece ahead starts from
+            live = {at} | {x[1] for x in ahead if x is not None}
+            while len(live) > 1:
+                last = max(live)
+                live.discard(last)
+                live.add(best[last - done][1])
+            at = live.pop()
+            if at > done:
+                yield committed(at)
+                base = best[at - done][0]
+                best = [(s - base, p, k) for s, p, k in best[at - done :]]
+                ahead = [x and (x[0] - base, x[1], x[2]) for x in ahead]
+                done = at
+    if n > done:
+        yield committed(n)
 
 
 def encode(pieces: Pieces, text: str) -> list[int]:
@@ -217,7 +224,7 @@ class Decoder:
 
 
 class Encoder:
-    """Encodes slices of texts with a memory of words; the memory is emptied at ``most`` words."""
+    """Streams texts, with a memory of the committed ids of words; the memory is emptied at ``most`` words."""
 
     def __init__(self, pieces: Pieces, most: int = 1_000_000):
         self.pieces, self.most = pieces, most
@@ -226,11 +233,8 @@ class Encoder:
         self.cut = re.compile(" +[^ ]*|[^ ]+").findall
 
     def code(self, word: str) -> int:
-        if len(word) <= 4 * self.pieces.longest:
-            short_word(self.pieces, word, self.flat)
-        else:
-            for part in stream(self.pieces, word):
-                self.flat.extend(part)
+        for part in stream(self.pieces, word):
+            self.flat.extend(part)
         self.starts.append(len(self.flat))
         self.codes[word] = k = len(self.starts) - 2
         return k
@@ -247,7 +251,7 @@ class Encoder:
             words = self.cut(t) if self.pieces.word_cuts else ([t] if t else [])
             found = [get(w) for w in words]
             if None in found:
-                found = [get(w) if k is None and w in self.codes else code(w) if k is None else k for w, k in zip(words, found, strict=True)]
+                found = [k if k is not None else self.codes[w] if w in self.codes else code(w) for w, k in zip(words, found, strict=True)]
             out.extend(found)
             count.append(len(found))
         codes = np.array(out, np.int64)

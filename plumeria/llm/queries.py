@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .language import document_languages, page_languages
-from .media import document_media
+from .media import document_media, page_items
 from .mixing import MIX_SQL, mix_sources
 from .ngram_join import ngram_jaccard_join
 from .passages import dedup_passages
 from .pieces import encode_documents
 from .quality import score_quality
-from .spotsigs import compare_edited
+from .spotsigs import compare_edited, spotsigs_join
 from .store import table
 from .toxicity import score_toxicity
 from .warc import archive_pages
@@ -44,6 +44,11 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_media(table(spark, sf_dir, "documents"))
 
 
+def op5b_page_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts and media references of all pages, in order."""
+    return page_items(table(spark, sf_dir, "pages"))
+
+
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of all documents, decoded again to check them."""
     return encode_documents(table(spark, sf_dir, "documents"))
@@ -64,6 +69,12 @@ def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_edited(table(spark, sf_dir, "documents"))
 
 
+def op8b_spotsigs_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents whose SpotSigs have a Jaccard similarity of 0.8 or more."""
+    out = spotsigs_join(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("n_shingles").alias("n_spots"), "component_id", "n_links")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents by weights 5, 2, 1 over the sources."""
     return mix_sources(table(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3)
@@ -77,7 +88,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_toxicity, op2_passages, op3_ngram_join, op4_warc, op5_media, op6_pieces, op7_language, op7b_page_language, op8_spotsigs, op9_mixing, op10_quality,
+        op1_toxicity, op2_passages, op3_ngram_join, op4_warc, op5_media, op5b_page_items, op6_pieces, op7_language, op7b_page_language, op8_spotsigs,
+        op8b_spotsigs_join, op9_mixing, op10_quality,
     )
 }
 

@@ -1,16 +1,15 @@
 """Operator 8: SpotSigs fingerprints: common-word anchors, each with the chain of content words that follows it.
 
-A text's fingerprint is the sorted set of 32-bit hashes of its spots, in hexadecimal. Sets are compared by Jaccard
-similarity; a bound from the two set lengths alone prunes pairs that cannot reach a threshold. The self-join has 64-bit
-hashes and partitions sets by length so that only neighbouring lengths meet; the fingerprints of documents are compared
-with those of given partners and need no join.
+A text's fingerprint is the sorted set of 64-bit hashes of its spots, in hexadecimal. Sets are compared by Jaccard
+similarity. The self-join partitions sets by length, so that only neighbouring lengths meet, and prunes pairs by the bounds
+that their lengths and the overlap found so far set; the fingerprints of documents are compared with those of given
+partners and need no join.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ngram_join import ngram_jaccard_join
-from .textkernels import LOWER, U, chain, distinct_by_row, slices, utf8_parts, word_hashes, word_spans
+from .textkernels import U, chain, distinct_by_row, slices, utf8_parts, word_hashes, word_spans, words_of
 
 #: Common words of four languages: the anchors.
 ANCHORS = (
@@ -36,18 +35,16 @@ def _anchor_hashes() -> np.ndarray:
     return np.unique(word_hashes(b, s, e))
 
 
-def spot_sets(col: pa.Array, length: int = CHAIN, bits: int = 32) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """For slices of an Arrow text column: first row, end row, sorted distinct spot hashes of 32 or 64 bits, offsets.
+def spot_sets(col: pa.Array, length: int = CHAIN) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For slices of an Arrow text column: first row, end row, sorted distinct 64-bit spot hashes, offsets.
 
     A text without a spot has one hash of its whole bytes, an empty one too, so that equal texts match, and others only by
-    a collision of that many bits.
+    a collision of 64 bits.
     """
     common = _anchor_hashes()
     data, offsets = utf8_parts(col)
     for i, j, b, o in slices(data, offsets):
-        low = LOWER[b]
-        s, e, first = word_spans(low, o)
-        h = word_hashes(low, s, e)
+        h, first = words_of(b, o)
         n = j - i
         row = np.repeat(np.arange(n), np.diff(first))
         if len(h):
@@ -60,13 +57,13 @@ def spot_sets(col: pa.Array, length: int = CHAIN, bits: int = 32) -> Iterator[tu
             last = content[nth + length - 1] if len(content) else nth
             ok = row[last] == row[at]
             at, nth = at[ok], nth[ok]
-            spots = chain(h[at], *(h[content[nth + k]] for k in range(length))) >> U(64 - bits)
+            spots = chain(h[at], *(h[content[nth + k]] for k in range(length)))
             owner = row[at]
         else:
             spots, owner = np.zeros(0, U), np.zeros(0, np.int64)
         bare = np.setdiff1d(np.arange(n), owner)
         if len(bare):
-            whole = np.array([int.from_bytes(hashlib.blake2b(b[o[r] : o[r + 1]].tobytes(), digest_size=bits // 8).digest()) for r in bare], U)
+            whole = np.array([int.from_bytes(hashlib.blake2b(b[o[r] : o[r + 1]].tobytes(), digest_size=8).digest()) for r in bare], U)
             spots, owner = np.concatenate([spots, whole]), np.concatenate([owner, bare])
             order = np.argsort(owner, kind="stable")
             spots, owner = spots[order], owner[order]
@@ -84,7 +81,7 @@ def jaccard(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
 
 
 def fingerprint(a: np.ndarray) -> str:
-    return a.astype(">u4").tobytes().hex()
+    return a.astype(">u8").tobytes().hex()
 
 
 def all_sets(texts: list[str]) -> list[np.ndarray]:
@@ -105,10 +102,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def spotsigs_join(docs: DataFrame, percent: int = 80, **options) -> DataFrame:
     """Classes of documents whose spot sets have a Jaccard similarity of percent / 100 or more, as in the shingle join.
 
-    Sets meet only within neighbouring length partitions, and pairs are pruned by length and least overlap. Spots have 64
-    bits here, whose upper ones deal them to buckets.
+    Each set is in the partition of its length class and of the next one, whose bounds grow by 100 / percent, so two sets
+    that can be linked share a partition. There, the prefix filter lets sets meet by one of their rarest spots, and pairs
+    are pruned by length and by the least overlap they still need. Texts without a spot are linked with equal texts only.
     """
-    return ngram_jaccard_join(docs, percent=percent, make=partial(spot_sets, bits=64), by_length=True, **options)
+    return ngram_jaccard_join(docs, percent=percent, make=spot_sets, by_length=True, **options)
 
 
 def beside_next(docs: DataFrame, rows: int = 4000) -> DataFrame:
@@ -119,7 +117,7 @@ def beside_next(docs: DataFrame, rows: int = 4000) -> DataFrame:
     """
     docs = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("place"))
     count = docs.count()
-    parts = max(1, min(4096, max(64, count // rows), count))
+    parts = max(1, min(max(64, count // rows), count))
     cuts = sorted({int(x) for x in docs.where("doc_id is not null").approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.25 / parts)}, reverse=True) if parts > 1 else []
     # the part is the number of cuts above the id, found in two steps of about sqrt(parts) comparisons
     step = max(1, int(len(cuts) ** 0.5))

@@ -21,6 +21,8 @@ BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INV = pow(BASE, -1, 1 << 64)
 #: Bytes in one slice; a single longer text forms a slice of its own.
 SLICE = 1 << 20
+#: A text over so many bytes is read in parts.
+LONG = 4 << 20
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -122,6 +124,42 @@ def word_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     return mix(h + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
 
 
+def words_of(b: np.ndarray, offsets: np.ndarray, lower: bool = True, long: int = LONG) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of a slice, and for each text the index of its first word (n+1 entries).
+
+    A slice of more than ``long`` bytes is one very long text: it is read in parts that end between words, and a word that
+    is longer than a part in pieces, so that little more than the hashes is held.
+    """
+    fold = LOWER if lower else np.arange(256, dtype=np.uint8)
+    if len(b) <= long or len(offsets) > 2:
+        b = fold[b]
+        s, e, first = word_spans(b, offsets)
+        return word_hashes(b, s, e), first
+    out, at = [], 0
+    while at < len(b):
+        end = min(len(b), at + long)
+        if end < len(b):
+            gap = np.flatnonzero(SPACE[b[at:end]])
+            if not len(gap):
+                while end < len(b) and not SPACE[b[end]]:
+                    more = np.flatnonzero(SPACE[b[end : end + long]])
+                    end = end + int(more[0]) if len(more) else min(len(b), end + long)
+                total = 0
+                for k in range(at, end, long):
+                    part = fold[b[k : min(end, k + long)]]
+                    total += pow(BASE, k - at, 1 << 64) * int(((part.astype(U) + U(1)) * powers(BASE, len(part))).sum(dtype=U))
+                out.append(mix(np.array([(total + (end - at) * 0xD6E8FEB86659FD93) % (1 << 64)], U)))
+                at = end
+                continue
+            end = at + int(gap[-1]) + 1
+        part = fold[b[at:end]]
+        s, e, _ = word_spans(part, np.array([0, len(part)]))
+        out.append(word_hashes(part, s, e))
+        at = end
+    h = np.concatenate(out)
+    return h, np.array([0, len(h)])
+
+
 def chain(*parts: np.ndarray) -> np.ndarray:
     """An ordered hash of several hash columns."""
     h = parts[0]
@@ -174,8 +212,6 @@ def shingle_sets(col, n: int, lower: bool = True) -> Iterator[tuple[int, int, np
     """For slices of an Arrow text column: first row, end row, sorted distinct shingle hashes, offsets."""
     data, offsets = utf8_parts(col)
     for i, j, b, o in slices(data, offsets):
-        if lower:
-            b = LOWER[b]
-        s, e, first = word_spans(b, o)
-        g, at = word_ngrams(word_hashes(b, s, e), first, n)
+        h, first = words_of(b, o, lower)
+        g, at = word_ngrams(h, first, n)
         yield i, j, *distinct_by_row(g, at, j - i)

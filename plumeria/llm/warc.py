@@ -3,7 +3,7 @@
 The writer makes one gzip stream of each archive. The normaliser inflates each such stream once, from its first byte to
 its last, holding one record at a time, and writes every record as a gzip member of its own, with a sidecar index of
 offsets. Readers then cut members by the index. Archives lie in shared tables as chunks of bytes (archive, chunk, base,
-data), since executors share no local folders; ``archive_bytes`` puts one together.
+data), since executors share no local folders; ``save_archives`` and ``open_archives`` write and read them as files.
 """
 
 from __future__ import annotations
@@ -16,8 +16,9 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pa_fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .store import written
@@ -79,7 +80,9 @@ class RecordSplitter:
                 if end < 0:
                     break
                 head = bytes(self.buffer[at:end]).lower()
-                length = next(int(x.partition(b":")[2]) for x in head.split(b"\r\n") if x.startswith(b"content-length:"))
+                length = next((int(x.partition(b":")[2]) for x in head.split(b"\r\n") if x.startswith(b"content-length:")), None)
+                if length is None or length < 0:
+                    raise ValueError("a record without a content length")
                 self.need = end - at + 4 + length + 4
             if len(self.buffer) - at < self.need:
                 break
@@ -88,6 +91,36 @@ class RecordSplitter:
             self.need = 0
         del self.buffer[:at]
 
+    def close(self) -> None:
+        """Raises where bytes of an unfinished record are left."""
+        if self.buffer.strip(b"\r\n"):
+            raise ValueError(f"{len(self.buffer)} bytes of a cut record")
+
+
+class Inflater:
+    """Inflates a gzip stream of any number of members, fed in pieces; zero bytes between and after members are padding."""
+
+    def __init__(self) -> None:
+        self.member = None
+
+    def feed(self, data: bytes, most: int = 4 << 20) -> Iterator[bytes]:
+        while data:
+            if self.member is None:
+                data = data.lstrip(b"\0")
+                if not data:
+                    return
+                self.member = zlib.decompressobj(31)
+            out = self.member.decompress(data, most)
+            data = self.member.unconsumed_tail
+            if self.member.eof:
+                data, self.member = self.member.unused_data, None
+            yield out
+
+    def close(self) -> None:
+        """Raises where a member has not ended."""
+        if self.member is not None:
+            raise ValueError("a cut gzip stream")
+
 
 def mark_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
     """page_id, url, html and refers_to: for payloads of at least ``least`` bytes, all but the smallest page_id refer to it."""
@@ -140,7 +173,9 @@ def normalise(archives: DataFrame, parts: int | None = None) -> tuple[DataFrame,
     """Archives with one gzip member for each record (archive, chunk, base, data), and their sidecar index (INDEX).
 
     ``archives`` are chunks (archive, chunk, data) of any gzip streams, of one member or many. Each archive is read in order
-    by one task; the writer bounds an archive's size. ``base`` is a chunk's offset in its archive, ``start`` a member's.
+    by one task; the writer bounds an archive's size. ``base`` is a chunk's offset in its archive, ``start`` a member's. A
+    stream or record that is cut off, or a record without a length, is an error that names the archive; zero bytes after
+    a member are padding. ``parts`` is the number of tasks: by default two for each 32 MB of chunks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,17 +193,22 @@ def normalise(archives: DataFrame, parts: int | None = None) -> tuple[DataFrame,
                 })
                 base, chunk, members, index = base + len(data), chunk + 1, [], []
 
+        def done() -> Iterator[pa.RecordBatch]:
+            if now is not None:
+                try:
+                    inflate.close()
+                    split.close()
+                except ValueError as x:
+                    raise ValueError(f"archive {now}: {x}") from x
+            yield from flush()
+
         for batch in batches:
             for r in range(batch.num_rows):
                 archive, data = batch.column(0)[r].as_py(), batch.column(2)[r].as_py()
                 if archive != now:
-                    yield from flush()
-                    now, inflate, split, base, chunk = archive, zlib.decompressobj(31), RecordSplitter(), 0, 0
-                while data:
-                    out = inflate.decompress(data, 4 << 20)
-                    data = inflate.unconsumed_tail
-                    if inflate.eof:
-                        data, inflate = inflate.unused_data, zlib.decompressobj(31)
+                    yield from done()
+                    now, inflate, split, base, chunk = archive, Inflater(), RecordSplitter(), 0, 0
+                for out in inflate.feed(data):
                     for record in split.feed(out):
                         fields, _ = parse_record(record)
                         member = gzip.compress(record, 6, mtime=0)
@@ -180,11 +220,11 @@ def normalise(archives: DataFrame, parts: int | None = None) -> tuple[DataFrame,
                         members.append(member)
                         if index[-1]["start"] + len(member) - base >= CHUNK:
                             yield from flush()
-        yield from flush()
+        yield from done()
 
     kinds = "archive string, chunk int, base long, data binary, members array<struct<start:long,length:long,record_id:string,record_type:string,uri:string,payload_digest:string>>"
-    key = ["archive"]
-    dealt = archives.repartition(parts, *key) if parts else archives.repartition(*key)
+    parts = parts or max(16, 2 * (archives.select(F.sum(F.octet_length("data"))).first()[0] or 0) // ARCHIVE)
+    dealt = archives.repartition(parts, "archive")
     both = written(dealt.sortWithinPartitions("archive", "chunk").select("archive", "chunk", "data").mapInArrow(run, kinds), "members")
     index = written(both.select("archive", "chunk", F.explode("members").alias("m")).select("archive", "chunk", "m.*"), "index")
     return both.drop("members"), index
@@ -231,6 +271,53 @@ def archive_pages(pages: DataFrame, least: int = 0, archive_bytes: int = ARCHIVE
     return read_members(*normalise(streams))
 
 
-def archive_bytes(archives: DataFrame, archive: str) -> bytes:
-    """One archive's bytes, for a look at it or to save it as a file (its size is bounded by the writer)."""
-    return b"".join(bytes(r.data) for r in archives.where(F.col("archive") == archive).orderBy("chunk").collect())
+def save_archives(archives: DataFrame, folder: str, parts: int | None = None) -> DataFrame:
+    """Write each archive (archive, chunk, data, ...) as ``folder/archive.warc.gz``; returns archive, path and bytes.
+
+    ``folder`` is a URI of a file system that Arrow can open and all executors share. A file is written under a name of its
+    attempt and renamed at its end, so a task that runs again leaves whole files.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pa_fs.FileSystem.from_uri(folder)
+        now, out, size = None, None, 0
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if out is not None:
+                out.close()
+                fs.move(f"{root}/.{now}.{attempt}", f"{root}/{now}.warc.gz")
+                yield pa.RecordBatch.from_pydict({"archive": [now], "path": [f"{folder}/{now}.warc.gz"], "bytes": [size]})
+
+        attempt = TaskContext.get().taskAttemptId()
+        fs.create_dir(root)
+        for batch in batches:
+            for r in range(batch.num_rows):
+                archive, data = batch.column(0)[r].as_py(), batch.column(2)[r].as_py()
+                if archive != now:
+                    yield from done()
+                    now, size = archive, 0
+                    out = fs.open_output_stream(f"{root}/.{now}.{attempt}", compression=None)
+                out.write(data)
+                size += len(data)
+        yield from done()
+
+    rows = archives.select("archive", "chunk", "data")
+    rows = rows.repartition(parts, "archive") if parts else rows.repartition("archive")
+    return written(rows.sortWithinPartitions("archive", "chunk").mapInArrow(run, "archive string, path string, bytes long"), "saved")
+
+
+def open_archives(spark: SparkSession, path: str) -> DataFrame:
+    """Chunks (archive, chunk, data) of all .warc.gz files under a path, read in ranges; the archive is the file's path."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                fs, at = pa_fs.FileSystem.from_uri(name)
+                with fs.open_input_stream(at, compression=None) as file:
+                    chunk = 0
+                    while data := file.read(CHUNK):
+                        yield pa.RecordBatch.from_pydict({"archive": pa.array([name]), "chunk": pa.array([chunk], pa.int32()), "data": pa.array([data], pa.binary())})
+                        chunk += 1
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.warc.gz").load(path)
+    return files.select("path").mapInArrow(run, "archive string, chunk int, data binary")

@@ -32,7 +32,7 @@ def corpus(seed, n=120):
 def test_join_equals_brute_force(spark, words, percent):
     rows = corpus(words)
     df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, cluster string")
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ngram_jaccard_join(df, words, percent, block=16).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ngram_jaccard_join(df, words, percent, block=300).collect()}
     assert got == brute.jaccard_join(rows, words, percent)
 
 
