@@ -277,11 +277,11 @@ def _send_fragments(k: int, m: int, parts: int, hot: np.ndarray):
 
 
 def _symbol(x: np.ndarray) -> np.ndarray:
-    return (x >> U(56)).astype(np.int64)
+    return np.ascontiguousarray(x.view(np.uint8)[7::8])
 
 
 def _prefix(x: np.ndarray) -> np.ndarray:
-    return ((x >> U(44)) & U(0xFFF)).astype(np.int64)
+    return ((x >> U(44)).astype(np.uint16) & np.uint16(0xFFF)).view(np.int16)
 
 
 def _blocks(file, size: int) -> Iterator[np.ndarray]:
@@ -320,23 +320,23 @@ def collection_bwt(text: np.ndarray, ends: np.ndarray, files: list) -> Iterator[
         r, over, under = np.empty(len(q), np.int64), np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
         has_down = np.zeros(len(q), bool)
         # pass 1: ranks, and prefixes shared with the neighbouring occurrences of the symbol, whose extensions stand next to the new suffix
-        seen, carry, waits = np.zeros(257, np.int64), np.full(257, 1 << 30), np.full(257, -1)
+        seen, carry, waits = np.zeros(257, np.int64), np.full(257, 0x7FFF), np.full(257, -1)
         at = lo = 0
         for block in _blocks(here, size):
             hi = int(np.searchsorted(q, at + len(block)))
             symbol, prefix = _symbol(block), _prefix(block)
-            order = np.argsort(symbol.astype(np.uint8), kind="stable")
+            order = np.argsort(symbol, kind="stable")
             count = np.bincount(symbol, minlength=257)
             first = np.cumsum(count) - count
-            spot, own = np.empty(len(block), np.int64), np.flatnonzero(count)
-            spot[order] = np.arange(len(block))
+            spot, own = np.empty(len(block), np.int32), np.flatnonzero(count)
+            spot[order] = np.arange(len(block), dtype=np.int32)
             least = np.minimum.accumulate(prefix)
             mine, sym = q[lo:hi] - at, c[lo:hi]
             k = spot[mine]
             r[lo:hi] = below[sym] + seen[sym] + k - first[sym]
             up = k > first[sym]
             down = k + 1 < first[sym] + count[sym]
-            padded = np.append(prefix, 0)
+            padded = np.append(prefix, np.int16(0))
             if up.any():
                 pair = np.stack([order[k[up] - 1] + 1, mine[up] + 1], axis=1).ravel()
                 over[lo:hi][up] = np.minimum.reduceat(padded, pair)[::2] + 1
@@ -352,7 +352,7 @@ def collection_bwt(text: np.ndarray, ends: np.ndarray, files: list) -> Iterator[
             has_down[waits[met]] = True
             waits[met] = -1
             waits[sym[~down]] = np.arange(lo, hi)[~down]
-            rest = np.append(np.minimum.accumulate(prefix[::-1])[::-1], 1 << 30)
+            rest = np.append(np.minimum.accumulate(prefix[::-1])[::-1], np.int16(0x7FFF))
             carry = np.minimum(carry, least[-1])
             carry[own] = rest[order[first[own] + count[own] - 1] + 1]
             seen += count
@@ -360,6 +360,7 @@ def collection_bwt(text: np.ndarray, ends: np.ndarray, files: list) -> Iterator[
         # pass 2: terminators come first, then all suffixes by their first symbol, that is by the rank of that symbol
         spot = n + r - closed
         rank = np.argsort(spot)
+        lower = under[rank].astype(U) << U(44)
         ended = (length[by_place] == t)[rank]
         before = text[np.maximum(ends[by_place[rank]] - t - 1, 0)].astype(np.int64)
         symbol = np.where(ended, 0, before)
@@ -368,10 +369,10 @@ def collection_bwt(text: np.ndarray, ends: np.ndarray, files: list) -> Iterator[
         fix = has_down[rank] & (np.append(np.diff(spot[rank]), 0) != 1)
         there.seek(0)
         at = lo = 0
-        for block in _blocks(here, size):
+        for block in _blocks(here, size) if len(block) < size else [block]:
             hi = int(np.searchsorted(old, at + len(block))) if at + len(block) < size else len(old)
             mend = np.flatnonzero(fix[lo:hi] & (old[lo:hi] < size)) + lo
-            block[old[mend] - at] = (block[old[mend] - at] & ~U(0xFFF << 44)) | (under[rank][mend].astype(U) << U(44))
+            block[old[mend] - at] = (block[old[mend] - at] & ~U(0xFFF << 44)) | lower[mend]
             fresh = np.empty(len(block) + hi - lo, U)
             mask = np.ones(len(fresh), bool)
             new = old[lo:hi] - at + np.arange(hi - lo)
