@@ -1 +1 @@
-"""See the modules."""
+"""Column functions: codecs, vectors, texts and metadata."""
