@@ -1 +1 @@
-"""See the modules."""
+"""Operators over catalogs, tokenisers and routed layers as DataFrames."""

@@ -1 +1 @@
-"""See the modules."""
+"""Sources and sinks: files of models read in ranges, and containers."""

@@ -1,59 +1,14 @@
-"""Catalog tables over safetensors and NPY files, from Spark's binary file reader.
-
-One row for each tensor: path, name, dtype, shape, start and length of its bytes. Payloads are cut out only on request.
-"""
+"""The catalog of tensor files with payloads, in one call."""
 
 from __future__ import annotations
 
-import ast
-import json
-import struct
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-CATALOG = "path string, name string, dtype string, shape array<bigint>, start bigint, length bigint"
-
-
-def safetensors_entries(raw: bytes) -> list[tuple[str, str, list[int], int, int]]:
-    """name, dtype, shape, start, length of each tensor: 8 bytes of header length, a JSON header, then the payloads."""
-    (size,) = struct.unpack_from("<Q", raw)
-    if size > len(raw) - 8:
-        raise ValueError("the header is longer than the file")
-    out = []
-    for name, x in json.loads(raw[8 : 8 + size]).items():
-        if name != "__metadata__":
-            a, b = x["data_offsets"]
-            if not 0 <= a <= b <= len(raw) - 8 - size:
-                raise ValueError(f"{name} lies outside the file")
-            out.append((name, x["dtype"], list(x["shape"]), 8 + size + a, b - a))
-    return out
-
-
-def npy_entries(raw: bytes, name: str) -> list[tuple[str, str, list[int], int, int]]:
-    """The one array of an NPY file."""
-    if raw[:6] != b"\x93NUMPY":
-        raise ValueError("no NPY file")
-    size, at = (struct.unpack_from("<H", raw, 8)[0], 10) if raw[6] == 1 else (struct.unpack_from("<I", raw, 8)[0], 12)
-    head = ast.literal_eval(raw[at : at + size].decode("latin-1"))
-    if head["fortran_order"]:
-        raise ValueError("only row-major arrays")
-    return [(name, head["descr"], list(head["shape"]), at + size, len(raw) - at - size)]
-
 
-def read_tensors(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
-    """CATALOG of all .safetensors and .npy files under a path, with a ``payload`` column if asked for."""
+from . import model_files
+from .ranges import Opener, arrow_opener, with_payload
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for p, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                stem = p.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-                for name, dtype, shape, start, length in npy_entries(raw, stem) if p.endswith(".npy") else safetensors_entries(raw):
-                    row = {"path": p, "name": name, "dtype": dtype, "shape": shape, "start": start, "length": length}
-                    yield pa.RecordBatch.from_pylist([row | ({"payload": raw[start : start + length]} if payload else {})])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    files = files.where(F.col("path").endswith(".npy") | F.col("path").endswith(".safetensors"))
-    return files.select("path", "content").mapInArrow(run, CATALOG + (", payload binary" if payload else ""))
+def read_tensors(spark: SparkSession, path: str, payload: bool = False, opener: Opener = arrow_opener) -> DataFrame:
+    """model_files.read_tensors(), with a ``payload`` column if asked for."""
+    rows = model_files.read_tensors(spark, path, opener)
+    return with_payload(rows, opener) if payload else rows

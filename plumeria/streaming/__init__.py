@@ -1 +1 @@
-"""See the modules."""
+"""Structured Streaming: tensors appended to a container."""
