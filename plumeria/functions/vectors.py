@@ -5,6 +5,8 @@ A null array gives null; where two arrays are combined, a difference in length i
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ def _same(a: Column, b: Column, out: Column) -> Column:
     return F.when(F.size(a) != F.size(b), unequal).otherwise(out)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once for the row and not once for each element that a lambda visits."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def total(x: Column) -> Column:
     return F.when(x.isNotNull(), F.aggregate(x, F.lit(0.0), lambda a, v: a + v))
 
@@ -40,8 +47,8 @@ def rms_norm(x: Column, weight: Column | None = None, eps: float = 1e-6) -> Colu
     """x / sqrt(mean(x^2) + eps), times the weights."""
     scale = F.sqrt(total(F.transform(x, lambda v: v.cast("double") * v)) / F.size(x) + eps)
     if weight is None:
-        return F.transform(x, lambda v: v / scale)
-    return _same(x, weight, F.zip_with(x, weight, lambda v, w: v / scale * w))
+        return let(scale, lambda s: F.transform(x, lambda v: v / s))
+    return _same(x, weight, let(scale, lambda s: F.zip_with(x, weight, lambda v, w: v / s * w)))
 
 
 def silu(x: Column) -> Column:
@@ -69,8 +76,8 @@ def rope(x: Column, position: Column, width: int, base: float = 10_000.0) -> Col
 
 def softmax(x: Column) -> Column:
     """With the largest element subtracted."""
-    weights = F.transform(x, lambda v: F.exp(v - F.array_max(x)))
-    return F.transform(weights, lambda w: w / total(weights))
+    weights = let(F.array_max(x), lambda m: F.transform(x, lambda v: F.exp(v - m)))
+    return let(weights, lambda w: let(total(w), lambda t: F.transform(w, lambda v: v / t)))
 
 
 def temperature(logits: Column, t: float) -> Column:
@@ -106,7 +113,7 @@ def nucleus(probabilities: Column, p: float) -> Column:
     step = F.struct(F.lit(0.0).alias("mass"), F.array().cast("array<struct<id:int,value:double>>").alias("kept"))
     run = F.aggregate(ranked, step, lambda a, x: F.when(a["mass"] >= p, a).otherwise(
         F.struct((a["mass"] + x["value"]).alias("mass"), F.concat(a["kept"], F.array(F.struct(x["id"].alias("id"), x["value"].cast("double").alias("value")))).alias("kept"))))
-    return F.transform(run["kept"], lambda x: F.struct(x["id"].alias("id"), (x["value"] / run["mass"]).alias("p")))
+    return let(run, lambda r: F.transform(r["kept"], lambda x: F.struct(x["id"].alias("id"), (x["value"] / r["mass"]).alias("p"))))
 
 
 def draw(choices: Column, unit: Column) -> Column:

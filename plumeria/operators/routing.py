@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot
+from ..functions.vectors import dot, let
 
 
 def route(tokens: DataFrame, router: DataFrame, k: int = 1, softmax: bool = True) -> DataFrame:
@@ -24,7 +24,7 @@ def route(tokens: DataFrame, router: DataFrame, k: int = 1, softmax: bool = True
     scored = tokens.crossJoin(F.broadcast(table)).withColumn("scores", F.transform("rows", lambda r: F.struct(dot(r["weights"], F.col("x")).alias("score"), r["expert"].alias("expert"))))
     ranked = F.array_sort(F.transform("scores", lambda s: F.struct(F.isnan(s["score"]).alias("nan"), (-s["score"]).alias("minus"), s["expert"].alias("expert"), s["score"].alias("score"))))
     top = scored.select("token", F.slice(ranked, 1, k).alias("top"))
-    weights = F.transform("top", lambda s: F.exp(s["score"] - F.get("top", 0)["score"]) if softmax else F.lit(1.0))
+    weights = let(F.get("top", 0)["score"], lambda m: F.transform("top", lambda s: F.exp(s["score"] - m) if softmax else F.lit(1.0)))
     out = top.withColumn("w", weights).select("token", "w", F.posexplode(F.arrays_zip("top", "w")).alias("place", "r"))
     total = F.aggregate("w", F.lit(0.0), lambda a, v: a + v)
     weight = F.col("r.w") / total if softmax else F.lit(1.0)
@@ -140,8 +140,8 @@ def causal_attention(tokens: DataFrame, groups: int = 1) -> DataFrame:
     rows = tokens.select("seq", "pos", "head", "q", F.floor(F.col("head") / groups).cast("long").alias("khead")).join(own.withColumn("khead", F.col("khead").cast("long")), ["seq", "khead"])
     seen = rows.withColumn("kv", F.filter("kv", lambda r: r["kpos"] <= F.col("pos")))
     seen = seen.withColumn("s", F.transform("kv", lambda r: dot(r["k"], F.col("q")) / F.sqrt(F.size("q"))))
-    seen = seen.withColumn("w", F.transform("s", lambda v: F.exp(v - F.array_max("s"))))
+    seen = seen.withColumn("w", let(F.array_max("s"), lambda m: F.transform("s", lambda v: F.exp(v - m))))
     scaled = F.zip_with("kv", "w", lambda r, w: F.transform(r["v"], lambda x: x * w))
     total = F.aggregate("w", F.lit(0.0), lambda a, v: a + v)
     y = F.aggregate(F.slice(scaled, 2, 1 << 30), F.get(scaled, 0), lambda a, p: F.zip_with(a, p, lambda x, z: x + z))
-    return seen.select("seq", "pos", "head", F.transform(y, lambda x: x / total).alias("y"))
+    return seen.select("seq", "pos", "head", let(total, lambda t: F.transform(y, lambda x: x / t)).alias("y"))

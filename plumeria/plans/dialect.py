@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,14 +59,14 @@ def sql_query(build: Callable[[object], str]) -> Callable[[SparkSession, str], D
     """Register a query that both engines can run; build(dialect) gives its text."""
     name = build.__name__
     text = build(Spark())
-    used = [t for t in TABLES if t in text]
+    used = [t for t in TABLES if re.search(rf"\b(?:FROM|JOIN)\s+{t}\b", text)]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        views = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used}
-        prefix = f"{name}__"
-        for t, df in views.items():
-            df.createOrReplaceTempView(prefix + t)
-        return spark.sql(re.sub(r"\b(" + "|".join(used) + r")\b(?!\()", lambda m: prefix + m[1], text) if used else text)
+        # views of one folder have names of their own, so that queries over two folders do not meet
+        own = f"t{zlib.crc32(sf_dir.encode()):08x}_"
+        for t in used:
+            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(own + t)
+        return spark.sql(re.sub(r"\b(FROM|JOIN)(\s+)(" + "|".join(used) + r")\b", lambda m: m[1] + m[2] + own + m[3] + ("" if re.match(r"\s+(?:AS\s+)?(?!ON\b|JOIN\b|LEFT\b|CROSS\b|FULL\b|WHERE\b|GROUP\b|ORDER\b|HAVING\b|EXCEPT\b|UNION\b|LATERAL\b|WINDOW\b)[A-Za-z_]\w*", m.string[m.end():]) else f" AS {m[3]}"), text) if used else text)
 
     run.__name__, run.__doc__ = name, build.__doc__
     QUERIES[name] = run

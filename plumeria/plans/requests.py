@@ -60,11 +60,16 @@ SELECT event_type AS graph, count(*) AS lookups, CAST(sum(hit) AS BIGINT) AS hit
 
 @sql_query
 def prefix_longest_match(d):
-    """The longest cached prefix (a benchmark text's first words) of each document, of 2, 4, 8 or 16 characters (prefix_longest_match_whole has every length)."""
-    return """
-WITH p AS (SELECT item_id, n.n, substring(text, 1, n.n) AS pre FROM benchmark CROSS JOIN (SELECT 2 AS n UNION ALL SELECT 4 AS n UNION ALL SELECT 8 AS n UNION ALL SELECT 16 AS n) n),
-m AS (SELECT d.doc_id, p.n, min(p.item_id) AS item FROM documents d JOIN p ON substring(d.text, 1, p.n) = p.pre GROUP BY d.doc_id, p.n),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC) AS r FROM m)
+    """The longest of the prefixes of 2, 4, 8 or 16 characters that a document shares with a benchmark text (prefix_longest_match_whole has every length).
+
+    Both sides are cut at the four lengths and joined on (length, prefix); a prefix has one row, with its least item.
+    """
+    lengths = "(SELECT 2 AS n UNION ALL SELECT 4 AS n UNION ALL SELECT 8 AS n UNION ALL SELECT 16 AS n)"
+    return f"""
+WITH p AS (SELECT n.n, substring(text, 1, n.n) AS pre, min(item_id) AS item FROM benchmark CROSS JOIN {lengths} n GROUP BY n.n, substring(text, 1, n.n)),
+c AS (SELECT doc_id, n.n, substring(text, 1, n.n) AS pre FROM documents CROSS JOIN {lengths} n),
+m AS (SELECT c.doc_id, p.n, p.item FROM c JOIN p ON p.n = c.n AND p.pre = c.pre),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, item) AS r FROM m)
 SELECT doc_id, CAST(n AS BIGINT) AS matched, item FROM r WHERE r = 1"""
 
 

@@ -57,12 +57,11 @@ NF4 = [
 
 @sql_query
 def nf4_nearest_level(d):
-    """NF4: the first of the nearest levels of each element over its block's largest magnitude."""
-    levels = " UNION ALL ".join(f"SELECT {k} AS level, CAST({x!r} AS DOUBLE) AS y" for k, x in enumerate(NF4))
+    """NF4: the first of the nearest levels of each element over its block's largest magnitude: how many midpoints of levels it is past."""
+    level = " + ".join(f"CASE WHEN x > {(p + q) / 2!r} THEN 1 ELSE 0 END" for p, q in zip(NF4, NF4[1:]))
     return f"""
-WITH b AS (SELECT vec_id, label, dim, CAST({f32div('v', 's')} AS DOUBLE) AS x FROM {_absmax_blocks(d, 1)} z),
-n AS (SELECT b.vec_id, b.label, b.dim, l.level, row_number() OVER (PARTITION BY b.vec_id, b.dim ORDER BY abs(b.x - l.y), l.level) AS r FROM b CROSS JOIN ({levels}) l)
-SELECT CAST(label AS BIGINT) AS label, CAST(level AS BIGINT) AS level, count(*) AS n FROM n WHERE r = 1 GROUP BY label, level"""
+WITH b AS (SELECT label, CAST({f32div('v', 's')} AS DOUBLE) AS x FROM {_absmax_blocks(d, 1)} z)
+SELECT CAST(label AS BIGINT) AS label, CAST(level AS BIGINT) AS level, count(*) AS n FROM (SELECT label, {level} AS level FROM b) n GROUP BY label, level"""
 
 
 @sql_query
@@ -121,6 +120,14 @@ WITH e AS (SELECT * FROM {d.emb} z)
 SELECT a.vec_id, CAST(floor(a.dim / 8) AS BIGINT) AS head, round(sum(a.v + b.v), 5) AS y FROM e a JOIN e b ON b.vec_id = a.vec_id + 1 AND b.dim = a.dim GROUP BY a.vec_id, CAST(floor(a.dim / 8) AS BIGINT)"""
 
 
+@sql_query
+def residual_add_elements(d):
+    """The sum of each vector and its successor, element by element."""
+    return f"""
+WITH e AS (SELECT * FROM {d.emb} z)
+SELECT a.vec_id, CAST(a.dim AS BIGINT) AS dim, round(a.v + b.v, 6) AS y FROM e a JOIN e b ON b.vec_id = a.vec_id + 1 AND b.dim = a.dim"""
+
+
 @sql_query
 def softmax_stable(d):
     """Softmax over each vector with its maximum subtracted; its entropy and largest probability."""
@@ -143,8 +150,8 @@ WITH e AS (SELECT * FROM {d.emb} z), heads AS (SELECT label AS expert, min(vec_i
 router AS (SELECT h.expert, e.dim, e.v AS w FROM heads h JOIN e ON e.vec_id = h.vec_id),
 score AS (SELECT e.vec_id, r.expert, round(sum(e.v * r.w), 6) AS score FROM e JOIN router r ON r.dim = e.dim GROUP BY e.vec_id, r.expert),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, expert) AS r FROM score),
-top AS (SELECT vec_id, expert, score, r FROM ranked WHERE r <= {k}),
-route AS (SELECT *, exp(score - max(score) OVER (PARTITION BY vec_id)) / sum(exp(score)) OVER (PARTITION BY vec_id) * exp(max(score) OVER (PARTITION BY vec_id)) AS weight FROM top)"""
+top AS (SELECT vec_id, expert, score, r, max(score) OVER (PARTITION BY vec_id) AS m FROM ranked WHERE r <= {k}),
+route AS (SELECT vec_id, expert, score, r, exp(score - m) / sum(exp(score - m)) OVER (PARTITION BY vec_id) AS weight FROM top)"""
 
 
 @sql_query

@@ -11,10 +11,26 @@ def lowercase_normalise(d):
     return r"SELECT doc_id, length(n) AS n_chars, md5(n) AS digest FROM (SELECT doc_id, regexp_replace(lower(text), '[ \t\n]+', ' '" + (", 'g'" if d.__class__.__name__ == "Duck" else "") + ") AS n FROM documents) x"
 
 
+def _pieces(d, text: str, pattern: str) -> str:
+    """The list of a text's matches; null for a null text."""
+    if d.__class__.__name__ == "Duck":
+        return f"regexp_extract_all({text}, '{pattern}')"
+    return f"regexp_extract_all({text}, '{pattern.replace(chr(92), chr(92) * 2)}', 0)"
+
+
+def _size(d, x: str) -> str:
+    return f"CAST(COALESCE(len({x}), 0) AS BIGINT)" if d.__class__.__name__ == "Duck" else f"CAST(COALESCE(size({x}), 0) AS BIGINT)"
+
+
+def _distinct(d, x: str) -> str:
+    return f"list_distinct({x})" if d.__class__.__name__ == "Duck" else f"array_distinct({x})"
+
+
 @sql_query
 def pretokenize_whitespace(d):
-    """Words between white space: how many, and how many different ones, in each document."""
-    return f"SELECT doc_id, count(*) AS n, count(DISTINCT w) AS different FROM {d.words('doc_id', 'documents', '[^ \\n]+')} w GROUP BY doc_id"
+    """Words between white space: how many, and how many different ones, in each document, those without words included."""
+    w = _pieces(d, "text", "[^ \\n]+")
+    return f"SELECT doc_id, {_size(d, w)} AS n, {_size(d, _distinct(d, w))} AS different FROM documents"
 
 
 @sql_query
@@ -38,6 +54,22 @@ t AS (SELECT * FROM {d.words('doc_id', 'documents', '[^ \\n]+')} w)
 SELECT doc_id, count(*) AS n, CAST(sum(COALESCE(v.id, 0)) AS BIGINT) AS sum_ids, CAST(sum(CASE WHEN v.id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS unknown FROM t LEFT JOIN v ON v.w = t.w GROUP BY doc_id"""
 
 
+@sql_query
+def digit_runs(d):
+    """Every document's runs of digits and of other characters, in order, as one text."""
+    pieces = _pieces(d, "text", "[0-9]+|[^0-9]+")
+    joined = f"array_to_string({pieces}, '|')" if d.__class__.__name__ == "Duck" else f"array_join({pieces}, '|')"
+    return f"SELECT doc_id, {_size(d, pieces)} AS n, md5(COALESCE({joined}, '')) AS pieces FROM documents"
+
+
+@sql_query
+def punctuation_pieces(d):
+    """Every document's words and ASCII marks, each mark apart, in order."""
+    pieces = _pieces(d, "text", r"[!-/:-@\[-`{-~]|[^ \t\n\r!-/:-@\[-`{-~]+")
+    joined = f"array_to_string({pieces}, ' ')" if d.__class__.__name__ == "Duck" else f"array_join({pieces}, ' ')"
+    return f"SELECT doc_id, {_size(d, pieces)} AS n, md5(COALESCE({joined}, '')) AS pieces FROM documents"
+
+
 @sql_query
 def special_token_isolation(d):
     """Special tokens in text, the longer of two that start at one place first."""
