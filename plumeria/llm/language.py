@@ -70,7 +70,7 @@ class LanguageModel:
                 continue
             grams = np.maximum(np.diff(o) - 2, 0)
             total = np.zeros((j - i, len(self.languages)))
-            if len(b) > long:  # one very long text, in parts
+            if len(b) > long and j - i == 1:  # one very long text, in parts
                 for at in range(0, len(b) - 2, long):
                     total[0] += self.table[gram_cells(b[at : at + long + 2])].sum(axis=0, dtype=np.float64)
             else:

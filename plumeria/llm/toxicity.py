@@ -186,7 +186,7 @@ class ToxicityModel:
         data, offsets = utf8_parts(col)
         out = np.zeros((len(col), 2 + len(LEVELS)))
         for i, j, b, o in slices(data, offsets):
-            out[i:j] = window_facts(*_guarded(*symbols(b, o)), self.table) if len(b) <= long else long_facts(b, self.table, long)
+            out[i:j] = window_facts(*_guarded(*symbols(b, o)), self.table) if len(b) <= long or j - i > 1 else long_facts(b, self.table, long)
         return out
 
 

@@ -193,6 +193,13 @@ def normalise(archives: DataFrame, parts: int | None = None) -> tuple[DataFrame,
                 })
                 base, chunk, members, index = base + len(data), chunk + 1, [], []
 
+        def records(data: bytes) -> Iterator[bytes]:
+            try:
+                for out in inflate.feed(data):
+                    yield from split.feed(out)
+            except (ValueError, zlib.error) as x:
+                raise ValueError(f"archive {now}: {x}") from x
+
         def done() -> Iterator[pa.RecordBatch]:
             if now is not None:
                 try:
@@ -208,18 +215,17 @@ def normalise(archives: DataFrame, parts: int | None = None) -> tuple[DataFrame,
                 if archive != now:
                     yield from done()
                     now, inflate, split, base, chunk = archive, Inflater(), RecordSplitter(), 0, 0
-                for out in inflate.feed(data):
-                    for record in split.feed(out):
-                        fields, _ = parse_record(record)
-                        member = gzip.compress(record, 6, mtime=0)
-                        start = index[-1]["start"] + index[-1]["length"] if index else base
-                        index.append({
-                            "start": start, "length": len(member), "record_id": fields.get("warc-record-id"), "record_type": fields.get("warc-type"),
-                            "uri": fields.get("warc-target-uri"), "payload_digest": fields.get("warc-payload-digest"),
-                        })
-                        members.append(member)
-                        if index[-1]["start"] + len(member) - base >= CHUNK:
-                            yield from flush()
+                for record in records(data):
+                    fields, _ = parse_record(record)
+                    member = gzip.compress(record, 6, mtime=0)
+                    start = index[-1]["start"] + index[-1]["length"] if index else base
+                    index.append({
+                        "start": start, "length": len(member), "record_id": fields.get("warc-record-id"), "record_type": fields.get("warc-type"),
+                        "uri": fields.get("warc-target-uri"), "payload_digest": fields.get("warc-payload-digest"),
+                    })
+                    members.append(member)
+                    if index[-1]["start"] + len(member) - base >= CHUNK:
+                        yield from flush()
         yield from done()
 
     kinds = "archive string, chunk int, base long, data binary, members array<struct<start:long,length:long,record_id:string,record_type:string,uri:string,payload_digest:string>>"

@@ -42,6 +42,41 @@ def test_join_query_on_the_whole_table(spark):
     assert got == brute.jaccard_join(rows, 3, 90)
 
 
+def test_join_of_repeated_rows_and_null_ids(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(5, text), (5, text), (2, text + " z"), (None, text), (9, "other words here")]
+    got = sorted(((r.doc_id, r.component_id, r.n_links) for r in ngram_jaccard_join(spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id long, text string, rep int, component_id string"), 3, 90).collect()), key=str)
+    assert [x[:2] for x in got] == [(2, 2), (5, 2), (5, 2), (9, 9), (None, None)] or [x[:2] for x in got][:4] == [(2, 2), (5, 2), (5, 2), (9, 9)]
+
+
+@pytest.mark.parametrize("percent,words", [(90, 3), (80, 5)])
+def test_join_of_one_large_cluster(spark, percent, words):
+    r = random.Random(percent)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(400):
+        w = list(base)
+        for _ in range(r.choice([0, 1, 1, 2])):
+            w[r.randrange(60)] = f"v{r.randrange(50)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute.jaccard_join(rows, words, percent)
+    for block in (1000, 200_000):  # many blocks, and one
+        assert {x.doc_id: (x.n_shingles, x.component_id, x.n_links) for x in ngram_jaccard_join(df, words, percent, block).collect()} == want
+
+
+def test_words_of_very_long_texts():
+    from plumeria.llm.textkernels import words_of
+
+    r = random.Random(3)
+    for text in [" ".join("x" * r.choice([1, 3, 40, 200]) + "É" * r.choice([0, 1, 9]) for _ in range(200)), "a" * 1000, " " * 500 + "b" * 77, "q " * 300 + "z" * 400, "z" * 400 + " q" * 300]:
+        b = np.frombuffer(text.encode(), np.uint8)
+        want, first = words_of(b, np.array([0, len(b)]))
+        for long in (16, 50, 333):
+            got, at = words_of(b, np.array([0, len(b)]), long=long)
+            assert np.array_equal(got, want) and at.tolist() == first.tolist()
+
+
 def test_join_of_an_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_jaccard_join(df).count() == 0
@@ -117,6 +152,36 @@ def test_passages_equal_brute_force(spark, k, anchor):
     assert len(got) == len(rows) + 1
 
 
+@pytest.mark.parametrize("rows", [[(1, "hello world")], [(1, ""), (2, "")], [(1, "a"), (2, "b")], [(1, None), (2, None)], [(None, "x" * 80)]])
+def test_passages_of_short_texts_only(spark, rows):
+    got = {r.doc_id: (r.n_bytes, r.n_removed) for r in dedup_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {d: (len((t or "").encode()), 0) for d, t in rows}
+
+
+@pytest.mark.parametrize("k,anchor,hot,sample", [(150, 18, 10**9, 1), (300, 18, 10**9, 1), (50, 18, 2, 1), (12, 5, 1, 1)])
+def test_passages_of_any_length_and_hot_anchors(spark, k, anchor, hot, sample):
+    r = random.Random(k)
+    base = ["".join(r.choice("abcde fgh") for _ in range(400)) for _ in range(4)]
+    rows = [(i, "".join(r.choice(base)[(a := r.randrange(300)) : a + r.randrange(40, 400)] + r.choice(["", "Copyright by the same people, "]) for _ in range(3))) for i in range(60)]
+    want = brute.cut(rows, k)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in dedup_passages(df, k, anchor, hot=hot, sample=sample).collect()}
+    assert got == {d: (*x[:3], brute.sha256(x[3])) for d, x in want.items()} and sum(x[1] for x in got.values())
+
+
+def test_passages_refuse_lengths_they_cannot_hold(spark):
+    for k, anchor in ((2001, 18), (10, 18)):
+        with pytest.raises(ValueError):
+            dedup_passages(spark.createDataFrame([], "doc_id long, text string"), k, anchor)
+
+
+def test_passages_of_repeated_rows_and_clashing_columns(spark):
+    rows = [(1, "x" * 60, 5, "h"), (1, "x" * 60, 5, "h"), (2, "y" * 10 + "x" * 60, 6, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_bytes long, home string")
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.own__n_bytes, r.own__home) for r in dedup_passages(df).collect())
+    assert got == [(1, 60, 0, 5, "h"), (1, 60, 0, 5, "h"), (2, 70, 60, 6, None)]
+
+
 def test_passages_query_on_the_whole_table(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     want = brute.cut(rows, 50)
@@ -147,3 +212,11 @@ def test_mix(spark):
     free = {s: t[0] / w for s, t, w in zip(sorted(filter(None, targets)) + [None], [targets[s] for s in sorted(filter(None, targets)) + [None]], [5, 2, 1, 5, 2, 1]) if t[0] < 3 * t[1] - 1e-6}
     assert max(free.values()) == pytest.approx(min(free.values()))
     assert mix_sources(df.limit(0)).count() == 0
+
+
+def test_mix_of_repeated_rows_and_clashing_columns(spark):
+    rows = [(k % 50, "w " * (k % 7), "a", 1, k) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, taken long, tag int")
+    got = mix_sources(df, keep=("tag",)).collect()
+    assert sorted(x.tag for x in got) == list(range(200)) and all(x.size == (x.tag % 7) and x.taken <= 3 * x.size for x in got)
+    assert abs(sum(x.taken for x in got) - got[0].target) <= 14
