@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumeria.llm.language import document_languages
@@ -12,8 +12,10 @@ from plumeria.llm.passages import dedup_passages
 from plumeria.llm.pieces import encode_documents
 from plumeria.llm.store import forget, table, written
 
-#: A row's own name in a stage: equal for equal rows only.
-KEY = F.xxhash64("doc_id", "text").alias("own__key")
+
+def _key() -> Column:
+    """A row's own name in a stage: equal for equal rows only."""
+    return F.xxhash64("doc_id", "text").alias("own__key")
 
 
 def _without(docs: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -25,9 +27,9 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Every row is judged by itself: rows with a null doc_id too, and rows that share a doc_id apart.
     """
-    rows = docs.select(KEY.alias("doc_id"), "text", "lang", "source")
+    rows = docs.select(_key().alias("doc_id"), "text", "lang", "source")
     gone = document_languages(rows).where("not accepted").select(F.col("doc_id").alias("own__key"))
-    return _without(docs.select(*docs.columns, KEY), gone, "own__key").select(*docs.columns)
+    return _without(docs.select(*docs.columns, _key()), gone, "own__key").select(*docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +59,7 @@ def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents once for each whole copy that the mix takes; those it does not take, and those without words, go."""
-    rows = docs.select(*docs.columns, KEY)
+    rows = docs.select(*docs.columns, _key())
     taken = mix_sources(rows, keep=("own__key",)).where("taken > 0").groupBy("own__key").agg(F.max(F.expr("taken div size")).alias("own__copies"))
     copies = F.explode(F.sequence(F.lit(1), F.col("own__copies").cast("int"))).alias("own__copy")
     return rows.join(written(taken, "taken"), "own__key").select(*docs.columns, copies).select(*docs.columns)
