@@ -324,12 +324,14 @@ def divide_skip(left: list[np.ndarray], right: list[np.ndarray] | None, percent:
     start = np.searchsorted(postings, np.arange(len(vocabulary) + 1) * m)
     length = np.diff(start)
     common = np.flatnonzero(2 * length > m)
-    lacks = [np.setdiff1d(np.arange(m), postings[start[k] : start[k + 1]] - k * m, assume_unique=True) for k in common.tolist()]
-    lack_length = np.array([len(x) for x in lacks], np.int64)
-    lack_start = np.cumsum(lack_length) - lack_length
-    lack_owner = np.concatenate(lacks) if lacks else np.zeros(0, np.int64)
     common_at = np.full(len(vocabulary), -1)
     common_at[common] = np.arange(len(common))
+    held = np.zeros((len(common), m), bool)  # no larger than twice the postings
+    row = common_at[ids]
+    held[row[row >= 0], owner[row >= 0]] = True
+    lack_row, lack_owner = np.nonzero(~held)
+    lack_length = np.bincount(lack_row, minlength=len(common))
+    lack_start = np.cumsum(lack_length) - lack_length
     out_a, out_b = [], []
     for i, q in enumerate(left):
         s = len(q)
