@@ -55,6 +55,19 @@ class Duck:
         return f"(SELECT {cols}, unnest(range({low}, {high} + 1)) AS n FROM {table})"
 
 
+#: What follows a table that has an alias of its own: a word that is no keyword.
+ALIAS = re.compile(r"\s+(?:AS\s+)?(?!(?:ON|JOIN|LEFT|CROSS|FULL|WHERE|GROUP|ORDER|HAVING|EXCEPT|UNION|LATERAL|WINDOW)\b)[A-Za-z_]\w*")
+
+
+def _named(text: str, tables: list[str], prefix: str) -> str:
+    """The text with each table read by its view's name, under its own name as an alias where it has none."""
+
+    def view(m: re.Match) -> str:
+        return m[1] + prefix + m[2] + ("" if ALIAS.match(text, m.end()) else f" AS {m[2]}")
+
+    return re.sub(rf"\b((?:FROM|JOIN)\s+)({'|'.join(tables)})\b", view, text)
+
+
 def sql_query(build: Callable[[object], str]) -> Callable[[SparkSession, str], DataFrame]:
     """Register a query that both engines can run; build(dialect) gives its text."""
     name = build.__name__
@@ -66,7 +79,7 @@ def sql_query(build: Callable[[object], str]) -> Callable[[SparkSession, str], D
         own = f"t{zlib.crc32(sf_dir.encode()):08x}_"
         for t in used:
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(own + t)
-        return spark.sql(re.sub(r"\b(FROM|JOIN)(\s+)(" + "|".join(used) + r")\b", lambda m: m[1] + m[2] + own + m[3] + ("" if re.match(r"\s+(?:AS\s+)?(?!ON\b|JOIN\b|LEFT\b|CROSS\b|FULL\b|WHERE\b|GROUP\b|ORDER\b|HAVING\b|EXCEPT\b|UNION\b|LATERAL\b|WINDOW\b)[A-Za-z_]\w*", m.string[m.end():]) else f" AS {m[3]}"), text) if used else text)
+        return spark.sql(_named(text, used, own) if used else text)
 
     run.__name__, run.__doc__ = name, build.__doc__
     QUERIES[name] = run
