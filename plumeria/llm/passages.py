@@ -91,6 +91,21 @@ def bucket_of(anchor: np.ndarray, parts: int) -> np.ndarray:
     return ((anchor >> U(24)) % U(parts)).astype(np.int64)
 
 
+def by_home(to: np.ndarray, finger: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The distinct fingerprints of each home, in order."""
+    if len(to) and int(to.max()) < 1 << 24:  # both fit in 64 bits
+        key = np.unique((to.astype(U) << U(40)) | finger)
+        to, finger = (key >> U(40)).astype(np.int64), key & FINGER
+    else:
+        order = np.lexsort((finger, to))
+        to, finger = to[order], finger[order]
+        new = np.ones(len(to), bool)
+        new[1:] = (to[1:] != to[:-1]) | (finger[1:] != finger[:-1])
+        to, finger = to[new], finger[new]
+    for v, s, e in runs_of(to):
+        yield v, finger[s:e]
+
+
 def _send_fingers(k: int, m: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -103,9 +118,8 @@ def _send_fingers(k: int, m: int, parts: int):
             many = np.repeat(doc[first] != doc[np.append(first[1:], len(doc)) - 1], np.diff(np.append(first, len(doc))))
             to = home(doc, parts)
             # two documents here have it: their homes are told at once, and the bucket gets one entry, however hot it is
-            told = np.unique(np.stack([to[many].astype(U), anchor[many] & FINGER]), axis=1)
-            for v, s, e in runs_of(told[0].astype(np.int64)):
-                yield _row(v, True, told[1, s:e])
+            for v, finger in by_home(to[many], anchor[many] & FINGER):
+                yield _row(v, True, finger)
             once = np.concatenate([first[~many[first]], first[many[first]]])
             where = np.where(many[once], -1, to[once])
             bucket = bucket_of(anchor[once], parts)

@@ -220,3 +220,14 @@ def test_mix_of_repeated_rows_and_clashing_columns(spark):
     got = mix_sources(df, keep=("tag",)).collect()
     assert sorted(x.tag for x in got) == list(range(200)) and all(x.size == (x.tag % 7) and x.taken <= 3 * x.size for x in got)
     assert abs(sum(x.taken for x in got) - got[0].target) <= 14
+
+
+def test_fingerprints_by_home():
+    from plumeria.llm.passages import by_home
+
+    r = np.random.default_rng(1)
+    for top in (5, 1 << 30):
+        to, finger = r.integers(0, 5, 300) * (top // 5), r.integers(0, 40, 300).astype(U)
+        got = {v: f.tolist() for v, f in by_home(to, finger)}
+        assert got == {v: sorted(set(finger[to == v].tolist())) for v in set(to.tolist())}
+    assert list(by_home(np.zeros(0, np.int64), np.zeros(0, U))) == []
