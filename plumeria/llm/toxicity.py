@@ -36,7 +36,7 @@ MARK, DIGIT = 28, 29
 #: Spaces after each text, so that no window or subsequence joins two texts.
 BORDER = SPAN + 1
 #: Values of windows whose runs are counted.
-LEVELS = (0.5, 1.0, 1.5)
+LEVELS = (0.25, 0.75, 1.25)
 #: Texts over so many bytes are read in parts of as many windows.
 LONG = 4 << 20
 
@@ -245,15 +245,15 @@ def sentences(text: str) -> list[str]:
 
 
 def _variants(word: str, r: np.random.Generator) -> list[str]:
-    """The word with foreign letters put in, and with its letters set apart."""
+    """The word with one foreign letter put in, four times, and with two, once."""
     letters = "abcdefghijklmnopqrstuvwxyz"
     out = []
-    for k in (1, 1, 2):
+    for k in (1, 1, 1, 1, 2):
         w = list(word)
         for at in sorted(r.choice(len(word) - 1, min(k, len(word) - 1), replace=False) + 1, reverse=True):
             w.insert(int(at), letters[r.integers(26)])
         out.append("".join(w))
-    return [*out, " ".join(word)]
+    return out
 
 
 def fit_machine(texts: list[str], y: np.ndarray, landmarks: int, rounds: int, cost: float) -> np.ndarray:
@@ -293,7 +293,7 @@ def fit_machine(texts: list[str], y: np.ndarray, landmarks: int, rounds: int, co
     r = np.random.default_rng(11)
     known = len(lines)
     firm = [w for w in bad if seen[1][w] >= max(5, 0.02 * n1) and tie[w] > 3]
-    extra = [(1, v) for w in firm for _ in range(3) for v in [w, w, *_variants(w, r)]] + [(0, v) for w in common[:100] for v in _variants(w, r)]
+    extra = [(1, v) for w in firm for _ in range(3) for v in [w, *_variants(w, r)]] + [(0, v) for w in common[:100] for v in _variants(w, r)]
     owner = np.array([k for k, _ in lines])
     toxic = np.concatenate([y[owner] == 1, [k == 1 for k, _ in extra]])
     s, o = _guarded(*_coded([x for _, x in lines] + [x for _, x in extra]))
