@@ -57,6 +57,14 @@ def forget(spark: SparkSession, since: int = 0, but: str | None = None) -> int:
     return len(_made)
 
 
+def discard(spark: SparkSession, name: str) -> None:
+    """Delete the last table written under a name, once what was made of it has been written too."""
+    path = next(p for p in reversed(_made) if f"/{name}-" in p)
+    at, fs = _place(spark, path)
+    fs.delete(at, True)
+    _made.remove(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

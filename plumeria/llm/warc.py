@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import discard, written
 
 CHUNK = 1 << 20
 ARCHIVE = 32 << 20
@@ -274,7 +274,9 @@ def archive_pages(pages: DataFrame, least: int = 0, archive_bytes: int = ARCHIVE
     the payload, and are responses. An empty table makes no archive and gives an empty table. Other columns are ignored.
     """
     streams = written(write_archives(mark_revisits(pages, least), archive_bytes), "streams")
-    return read_members(*normalise(streams))
+    archives, index = normalise(streams)  # both are written tables, so the streams are needed no more
+    discard(pages.sparkSession, "streams")
+    return read_members(archives, index)
 
 
 def save_archives(archives: DataFrame, folder: str, parts: int | None = None) -> DataFrame:
