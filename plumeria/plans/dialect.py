@@ -24,6 +24,10 @@ class Spark:
     def even(self, x: str) -> str:
         return f"bround({x}, 0)"
 
+    def double(self, x: str) -> str:
+        """A number in double precision; with a plain 101.0, Spark divides in decimals of six digits."""
+        return f"{x}D"
+
     def range(self, n: int) -> str:
         return f"(SELECT id FROM range({n}))"
 
@@ -45,6 +49,9 @@ class Duck:
     def even(self, x: str) -> str:
         return f"round_even({x}, 0)"
 
+    def double(self, x: str) -> str:
+        return x
+
     def range(self, n: int) -> str:
         return f"(SELECT range AS id FROM range({n}))"
 

@@ -285,7 +285,7 @@ def inverse_cdf_draw(d):
     return f"""
 WITH m AS (SELECT vec_id, dim, v - max(v) OVER (PARTITION BY vec_id) AS x FROM {d.emb} e), p AS (SELECT vec_id, dim, exp(x) / sum(exp(x)) OVER (PARTITION BY vec_id) AS p FROM m),
 c AS (SELECT *, round(sum(p) OVER (PARTITION BY vec_id ORDER BY p DESC, dim ROWS UNBOUNDED PRECEDING), 9) AS upto, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, dim) AS r FROM p)
-SELECT vec_id, CAST(COALESCE(min(CASE WHEN upto >= ((vec_id * 37) % 101) / 101.0 THEN r END), max(r)) AS BIGINT) AS place FROM c GROUP BY vec_id"""
+SELECT vec_id, CAST(COALESCE(min(CASE WHEN upto >= ((vec_id * 37) % 101) / {d.double('101.0')} THEN r END), max(r)) AS BIGINT) AS place FROM c GROUP BY vec_id"""
 
 
 @sql_query

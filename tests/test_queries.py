@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 import plumeria.plans.all_queries  # noqa: F401
@@ -33,3 +34,21 @@ def test_query(spark, duck, name):
     got, want = norm(QUERIES[name](spark, SF).toPandas()), norm(duck.execute(ORACLE[name]).df())
     assert list(got.columns) == list(want.columns) and len(got) == len(want)
     assert got.astype(want.dtypes.to_dict()).astype(str).equals(want.astype(str))
+
+
+def differs(spark, duck, path, name, vectors):
+    """What a query over embeddings (vec_id, label, embedding) gives otherwise than its SQL."""
+    spark.createDataFrame(vectors, "vec_id long, label int, embedding array<float>").coalesce(1).write.parquet(f"{path}/embeddings.parquet")
+    c = duck.cursor()
+    c.execute(f"create temp view embeddings as select * from read_parquet('{path}/embeddings.parquet/*.parquet')")
+    got, want = norm(QUERIES[name](spark, str(path)).toPandas()), norm(c.execute(ORACLE[name]).df())
+    assert len(got) == len(want) == len(vectors)
+    return (got.astype(want.dtypes.to_dict()).astype(str) != want.astype(str)).sum().sum()
+
+
+def test_draw_between_six_digits_and_the_exact_number(spark, duck, tmp_path):
+    # of two tokens, the likelier one's probability is 60/101 plus or minus 2e-7: a threshold of six digits (0.594059) is below both
+    gap = lambda p: np.float32(np.log(p / (1 - p)))
+    k = next(k for k in range(101) if k * 37 % 101 == 60)
+    vectors = [(k + 101 * j, 0, [0.0, -float(gap(60 / 101 + (j - 4) * 1e-7))]) for j in range(9)]
+    assert differs(spark, duck, tmp_path, "inverse_cdf_draw", vectors) == 0
