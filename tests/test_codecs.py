@@ -144,3 +144,10 @@ def test_columns(spark):
     assert [r[0] for r in mixed.select(C.decode_by("b", "codec", "n")).collect()] == [[1.0], [1.0], None]
     with pytest.raises(ValueError):
         C.encode("q9")
+
+
+def test_numbers_next_to_a_half():
+    below, above = (np.nextafter(np.float32(0.5), np.float32(x)) for x in (0, 1))
+    x = np.array([below, -below, 0.5, -0.5, above, 1.5, -2.5, 0, 8388609, -8388609, np.nextafter(np.float32(2.5), np.float32(0))], np.float32)
+    assert C.half_away(x).tolist() == [0, 0, 1, -1, 1, 2, -3, 0, 8388609, -8388609, 2]
+    assert np.isnan(C.half_away(np.array([np.nan], np.float32)))[0] and np.isinf(C.half_away(np.array([np.inf], np.float32)))[0]

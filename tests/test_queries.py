@@ -52,3 +52,9 @@ def test_draw_between_six_digits_and_the_exact_number(spark, duck, tmp_path):
     k = next(k for k in range(101) if k * 37 % 101 == 60)
     vectors = [(k + 101 * j, 0, [0.0, -float(gap(60 / 101 + (j - 4) * 1e-7))]) for j in range(9)]
     assert differs(spark, duck, tmp_path, "inverse_cdf_draw", vectors) == 0
+
+
+@pytest.mark.parametrize("name", ["q3_k_payloads", "q3_k_roundtrip_error"])
+def test_codes_next_to_a_half(spark, duck, tmp_path, name):
+    below = float(np.nextafter(np.float32(0.125), np.float32(0)))
+    assert differs(spark, duck, tmp_path, name, [(1, 0, [1.0, below, -below] + [0.0] * 61), (2, 0, [-1.0, 0.125, below] + [0.25] * 61)]) == 0
