@@ -2,9 +2,11 @@
 
 import json
 
+import pyarrow as pa
 import pytest
 
 from plumeria.functions.texts import isolate, normalise, pretokenise
+from plumeria.operators import tokenizers as T
 from plumeria.operators.tokenizers import Tokenizer, UnknownToken, decode_ids, encode_texts, vocabulary, word_level_ids
 from pyspark.sql import functions as F
 
@@ -140,3 +142,16 @@ def test_word_level_table(spark):
     texts = spark.createDataFrame([(1, "b a  b"), (2, ""), (3, None), (4, "zz a")], "k int, text string")
     vocab = spark.createDataFrame([("a", 5), ("b", 6)], "token string, id long")
     assert {r.k: r.ids for r in word_level_ids(texts, vocab, "k").collect()} == {1: [6, 5, 6], 2: [], 3: [], 4: [0, 5]}
+
+
+def test_ids_do_not_depend_on_runs_and_memory(spark, monkeypatch):
+    plain = T.Tokenizer("BPE", {c: k for k, c in enumerate("abcdef?")} | {"ab": 7, "abc": 8, "<s>": 9}, {("a", "b"): 0, ("ab", "c"): 1}, unknown="?", specials=["<s>"], pretokeniser={"type": "WhitespaceSplit"})
+    texts = ["abc ab <s> a", None, "", "abcabc <s>", " ", "zz a" + " abc" * 9, None]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string").coalesce(1)
+    want = [[8, 7, 9, 0], None, [], [8, 8, 9], [], [6, 6, 0] + [8] * 9, None]
+    for run, most in ((1 << 17, 500_000), (2, 1), (3, 0)):
+        monkeypatch.setattr(T, "RUN", run)  # goes to the tasks with their function
+        assert {r.k: r.ids for r in T.encode_column(rows, plain, "text", "ids").collect()} == dict(enumerate(want))
+        made, words = T.PieceIds(plain, most), ["abc", "<s>", "zz", "ab"]
+        assert [made.many(pa.array([w]), pa.array([w == "<s>"]))[0].tolist() for w in words * 2] == [[8], [9], [6, 6], [7]] * 2
+        assert len(made.codes) <= most + 1
