@@ -30,6 +30,8 @@ from .workers import trimmed
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: What an unknown character costs below the least score of a piece, in micro nats.
 UNKNOWN = 10_000_000
+#: Bytes of texts whose words are Python objects at a time, and words that one worker remembers.
+SLICE, MEMORY = 1 << 19, 500_000
 
 
 @dataclass
@@ -226,7 +228,7 @@ class Decoder:
 class Encoder:
     """Streams texts, with a memory of the committed ids of words; the memory is emptied at ``most`` words."""
 
-    def __init__(self, pieces: Pieces, most: int = 1_000_000):
+    def __init__(self, pieces: Pieces, most: int = MEMORY):
         self.pieces, self.most = pieces, most
         self.codes: dict[str, int] = {}
         self.flat, self.starts = array("i"), array("q", [0])
@@ -255,7 +257,7 @@ class Encoder:
             out.extend(found)
             count.append(len(found))
         codes = np.array(out, np.int64)
-        starts, flat = np.array(self.starts, np.int64), np.array(self.flat, np.int32)
+        starts, flat = np.frombuffer(self.starts, np.int64), np.frombuffer(self.flat, np.int32)  # until this call returns
         took = starts[codes + 1] - starts[codes]
         ends = np.concatenate([[0], np.cumsum(took)])
         ids = flat[np.repeat(starts[codes], took) + np.arange(ends[-1]) - np.repeat(ends[:-1], took)]
@@ -275,7 +277,7 @@ def encode_documents(docs: DataFrame, path: str = VOCABULARY, check: bool = True
         encoder, decoder = Encoder(shared.value), Decoder(shared.value)
         for batch in batches:
             data, offsets = utf8_parts(batch.column(1))
-            for i, j, b, o in slices(data, offsets, 4 << 20):
+            for i, j, b, o in slices(data, offsets, SLICE):
                 texts = [x or "" for x in batch.column(1).slice(i, j - i).to_pylist()]
                 ids, cuts = encoder.many(texts)
                 good = np.ones(j - i, bool)

@@ -624,3 +624,18 @@ def test_arrow_parts_of_slices():
     assert data.tobytes() == "é".encode() and offsets.tolist() == [0, 0, 2, 2]
     assert utf8_parts(pa.array([], pa.string()))[1].tolist() == [0]
     assert pd.Series(utf8_parts(pa.array([b"x", None]))[1]).tolist() == [0, 1, 1] and U(1) == 1
+
+
+def test_the_words_remembered_are_not_copied_for_each_call():
+    import tracemalloc
+    from array import array
+
+    made = pieces.Encoder(pieces.Pieces(["a", " "], [-1, -2], [True, True], [-1] * 256, 0, prefix=False))
+    made.many(["a a"])
+    made.flat.extend(array("i", [0]) * 400_000)
+    made.starts.extend(array("q", [len(made.flat)]) * 400_000)
+    tracemalloc.start()
+    ids, cuts = made.many(["a a", "", "b"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert cuts.tolist() == [0, 3, 3, 4] and len(ids) == 4 and peak < 1_000_000
