@@ -33,6 +33,8 @@ SCORES = {
     "cuda": (0, 28, 26), "metal": (0, 28, 26),
 }
 MODES = {"cpu_only": 0, "gpu_only": 1, "hybrid": 2}
+#: Ordinals of one run of a running sum.
+SPAN = 1 << 16
 PENALTIES = {"cast_f16": 3, "block_quantized": 5}
 
 
@@ -383,6 +385,21 @@ def aligned_layout(items: DataFrame, by: tuple[str, ...] = ("file",)) -> DataFra
     return placed.select(*by, F.explode(F.arrays_zip("list", "at")).alias("x")).select(*by, "x.list.ordinal", "x.list.length", "x.list.align", F.col("x.at").alias("offset"))
 
 
+def even_layout(items: DataFrame, align: int, by: tuple[str, ...] = ("file",)) -> DataFrame:
+    """items (by, ordinal, length) with the offset of each, all with one alignment: what aligned_layout() gives for it.
+
+    A running sum over runs of SPAN ordinals, then over the runs' sums, so that no task holds a file's list.
+    """
+    run = F.floor(F.col("ordinal") / SPAN)
+    rows = items.withColumns({"own__run": run, "own__step": F.ceil(F.col("length") / align).cast("long") * align})
+    sums = rows.groupBy(*by, "own__run").agg(F.sum("own__step").alias("own__sum"))
+    before = F.sum("own__sum").over(Window.partitionBy(*by).orderBy("own__run").rowsBetween(Window.unboundedPreceding, -1))
+    inside = F.sum("own__step").over(Window.partitionBy(*by, "own__run").orderBy("ordinal", "length").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sums.select(*by, "own__run", F.coalesce(before, F.lit(0)).alias("own__start"))
+    placed = rows.withColumn("own__inside", F.coalesce(inside, F.lit(0))).join(starts, [*by, "own__run"])
+    return placed.select(*by, "ordinal", "length", F.lit(align).alias("align"), (F.col("own__start") + F.col("own__inside")).alias("offset"))
+
+
 def dedup_payloads(payloads: DataFrame) -> DataFrame:
     """payloads (arena, ordinal, digest, length, align) with ``stored_at``: the ordinal whose bytes it shares, else its own.
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codecs import compress, decode_by, decompress
 from ..functions.metadata import SAFETENSORS, byte_size, element_count, without_prefix
-from ..operators.catalog import aligned_layout, dedup_payloads, ensure_none, owned_variants, tensor_entries, tensor_variants
+from ..operators.catalog import dedup_payloads, ensure_none, even_layout, owned_variants, tensor_entries, tensor_variants
 
 CHUNK = 16 << 20
 ALIGN = 64
@@ -77,7 +77,7 @@ def write_container(
     stored = stored.select(F.col("ordinal").alias("variant_index"), F.col("stored_at").alias("stored")) if dedup else facts.select("variant_index", F.col("variant_index").alias("stored"))
     stored = _kept(stored, f"{place}/_stored")
     first = facts.join(stored.where("variant_index = stored"), "variant_index")
-    layout = aligned_layout(first.select("arena", "shard_id", F.col("variant_index").alias("ordinal"), "length", "align"), ("arena", "shard_id"))
+    layout = even_layout(first.select("arena", "shard_id", F.col("variant_index").alias("ordinal"), "length"), ALIGN, ("arena", "shard_id"))
     layout = _kept(layout.select("arena", "shard_id", F.col("ordinal").alias("stored"), "offset"), f"{place}/_layout")
     kinds = {"canonical": 1, "packed": 2}
     section = F.when(F.col("arena") == "canonical", kinds["canonical"]).otherwise(kinds["packed"])

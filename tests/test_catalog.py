@@ -209,3 +209,16 @@ def test_tensor_parallel(spark):
     assert 0 not in issues and 3 not in issues and issues[1] == {"duplicate index", "width"}
     assert {"count", "not contiguous", "axis or collective differs"} <= issues[2]
     assert {r.expert_id: r.status for r in C.parallel_plan(specs).collect()} == {0: "cpu_reference", 1: "unavailable", 2: "unavailable", 3: "not_required"}
+
+
+def test_even_layout_is_the_aligned_layout_without_a_list(spark):
+    r = random.Random(5)
+    rows = [(f, k, r.randrange(0, 300)) for f in (1, 2) for k in r.sample(range(-100_000, 5 * C.SPAN), 300)]
+    items = spark.createDataFrame(rows, "file int, ordinal int, length long")
+    got = {(x.file, x.ordinal): x.offset for x in C.even_layout(items, 64).collect()}
+    want, end = {}, {1: 0, 2: 0}
+    for f, k, n in sorted(rows):
+        want[f, k] = -(-end[f] // 64) * 64
+        end[f] = want[f, k] + n
+    assert got == want
+    assert "collect_list" not in C.even_layout(items, 64)._jdf.queryExecution().toString()
