@@ -2,12 +2,14 @@
 
 import glob
 import os
+import re
 
 import duckdb
 import numpy as np
 import pytest
 
 import plumeria.plans.all_queries  # noqa: F401
+from plumeria.plans import by_operators
 from plumeria.plans.registry import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -58,3 +60,34 @@ def test_draw_between_six_digits_and_the_exact_number(spark, duck, tmp_path):
 def test_codes_next_to_a_half(spark, duck, tmp_path, name):
     below = float(np.nextafter(np.float32(0.125), np.float32(0)))
     assert differs(spark, duck, tmp_path, name, [(1, 0, [1.0, below, -below] + [0.0] * 61), (2, 0, [-1.0, 0.125, below] + [0.25] * 61)]) == 0
+
+
+def star(spark, duck, path, **tables):
+    """A cursor of DuckDB over tables written to a folder; the others are those of sf0.001."""
+    c = duck.cursor()
+    for name in ("nation", "region", "supplier", "part", "lineitem"):
+        if name in tables:
+            tables[name].write.parquet(f"{path}/{name}.parquet")
+            c.execute(f"create temp view {name} as select * from read_parquet('{path}/{name}.parquet/*.parquet')")
+        else:
+            os.symlink(f"{SF}/{name}.parquet", f"{path}/{name}.parquet")
+    return c
+
+
+def exchanges(df):
+    """The partition counts of the shuffles by a key in a query's plan."""
+    return [int(n) for n in re.findall(r"hashpartitioning\(.*, (\d+)\)", df._jdf.queryExecution().executedPlan().toString())]
+
+
+def test_residency_of_equal_names_and_missing_keys(spark, duck, tmp_path, monkeypatch):
+    nation = [(0, "A", 0), (1, "A", 0), (2, None, 0), (3, "B", 1), (3, "B", 1)]
+    lines = [(p, s, float(q)) for p, s, q in [(1, 1, 5), (1, 1, 6), (1, 2, 7), (2, 2, 1), (2, 3, 1), (3, 3, 2), (3, 4, 9), (4, 5, 9)]] + [(None, 1, 3.0), (5, None, 3.0), (6, 1, None)]
+    c = star(
+        spark, duck, tmp_path, nation=spark.createDataFrame(nation, "n_nationkey int, n_name string, n_regionkey int"),
+        supplier=spark.createDataFrame([(1, 0), (2, 1), (3, 2), (4, 3), (5, 9)], "s_suppkey long, s_nationkey int"),
+        lineitem=spark.createDataFrame([(p, s, 1, q) for p, s, q in lines], "l_partkey long, l_suppkey long, l_linenumber int, l_quantity double"),
+    )
+    monkeypatch.setattr(by_operators, "SPREAD", 1)
+    got, want = QUERIES["residency_totals"](spark, str(tmp_path)), norm(c.execute(ORACLE["residency_totals"]).df())
+    assert norm(got.toPandas()).astype(str).equals(want.astype(str)) and len(want) == 3
+    assert exchanges(got).count(len(lines)) >= 2, "the large shuffles have partitions by the table's rows"
