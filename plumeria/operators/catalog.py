@@ -51,9 +51,20 @@ def owned_variants(tensors: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return tensors.select(*by, "name", "ordinal", "metadata", F.posexplode(own).alias("place", "variant_index"))
 
 
-def tensor_variants(tensors: DataFrame, variants: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Tensors with their variants, canonical first; variants that no tensor owns are left out."""
-    return owned_variants(tensors, by).join(variants, [*by, "variant_index"])
+def tensor_variants(tensors: DataFrame, variants: DataFrame, by: tuple[str, ...] = (), parts: int | None = None) -> DataFrame:
+    """Tensors with their variants, canonical first; variants that no tensor owns are left out.
+
+    ``parts`` is the number of partitions of the join; without it Spark's own, which does not grow with the catalog.
+    """
+    keys = [*by, "variant_index"]
+    own = owned_variants(tensors, by)
+    if parts is None:
+        return own.join(variants, keys)
+    return own.repartition(parts, *keys).join(variants.repartition(parts, *keys), keys)
+
+
+def _by_name(rows: DataFrame, parts: int | None):
+    return (rows if parts is None else rows.repartition(parts, "name")).groupBy("name")
 
 
 def tensor_entries(tensors: DataFrame, variants: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -77,22 +88,27 @@ def variant_sections(variants: DataFrame, sections: DataFrame, by: tuple[str, ..
     return variants.join(numbered, [*by, "section_kind", "section_index"], "left")
 
 
+def target_index(tensors: DataFrame, variants: DataFrame, target: str, strict: bool = False, parts: int | None = None) -> DataFrame:
+    """name, targets, variant_index, found: distinct_targets() and variant_by_target() of each tensor, from one join."""
+    rows = tensor_variants(tensors, variants, parts=parts).select("name", "place", "variant_index", "target")
+    listed = _by_name(rows, parts).agg(F.array_sort(F.collect_list(F.struct("place", "variant_index", "target"))).alias("o"))
+    hit = F.get(F.filter("o", lambda v: v["target"] == target), 0)["variant_index"]
+    out = listed.select("name", F.array_distinct(F.transform("o", lambda v: v["target"])).alias("targets"), hit.alias("hit"), F.get("o", 0)["variant_index"].alias("canonical"))
+    missing = F.raise_error(F.concat(F.lit(f"no variant for {target} of "), "name")) if strict else F.col("canonical")
+    return out.select("name", "targets", F.when(F.col("hit").isNotNull(), F.col("hit")).otherwise(missing).alias("variant_index"), F.col("hit").isNotNull().alias("found"))
+
+
 def variant_by_target(tensors: DataFrame, variants: DataFrame, target: str, strict: bool = False) -> DataFrame:
     """name, variant_index, found: the tensor's first variant of a target, canonical searched first; else its canonical one.
 
     ``strict`` makes a tensor without the target an error.
     """
-    rows = tensor_variants(tensors, variants)
-    hit = F.min(F.when(F.col("target") == target, F.struct("place", "variant_index")))
-    out = rows.groupBy("name").agg(hit.alias("hit"), F.min(F.struct("place", "variant_index")).alias("canonical"))
-    missing = F.raise_error(F.concat(F.lit(f"no variant for {target} of "), "name")) if strict else F.col("canonical.variant_index")
-    return out.select("name", F.when(F.col("hit").isNotNull(), F.col("hit.variant_index")).otherwise(missing).alias("variant_index"), F.col("hit").isNotNull().alias("found"))
+    return target_index(tensors, variants, target, strict).select("name", "variant_index", "found")
 
 
 def distinct_targets(tensors: DataFrame, variants: DataFrame) -> DataFrame:
     """name and targets: its variants' targets in order of first appearance."""
-    rows = tensor_variants(tensors, variants).groupBy("name", "target").agg(F.min("place").alias("place"))
-    return rows.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "target"))), lambda x: x["target"]).alias("targets"))
+    return target_index(tensors, variants, TARGETS[0]).select("name", "targets")
 
 
 def base_scores(mode: str, cpu: set[str] = frozenset(), gpu: str | None = None) -> dict[str, int]:

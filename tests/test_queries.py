@@ -91,3 +91,26 @@ def test_residency_of_equal_names_and_missing_keys(spark, duck, tmp_path, monkey
     got, want = QUERIES["residency_totals"](spark, str(tmp_path)), norm(c.execute(ORACLE["residency_totals"]).df())
     assert norm(got.toPandas()).astype(str).equals(want.astype(str)) and len(want) == 3
     assert exchanges(got).count(len(lines)) >= 2, "the large shuffles have partitions by the table's rows"
+
+
+PAIRS = [(p, s, n) for p in range(1, 41) for n, s in enumerate((p, p + 7, 3 * p + 1, 5 * p + 2, p), 1)]
+
+
+def pairs_of(spark):
+    return spark.createDataFrame(PAIRS, "l_partkey long, l_suppkey long, l_linenumber int")
+
+
+def spread_result(spark, duck, path, monkeypatch, name):
+    """A query over a catalog with repeated lines gives its SQL's rows; the partition counts of its shuffles."""
+    c = star(spark, duck, path, lineitem=pairs_of(spark))
+    monkeypatch.setattr(by_operators, "SPREAD", 4)
+    got = QUERIES[name](spark, str(path))
+    plan = exchanges(got)
+    got, want = norm(got.toPandas()), norm(c.execute(ORACLE[name]).df())
+    assert got.astype(want.dtypes.to_dict()).astype(str).equals(want.astype(str)) and len(want) >= 40
+    return plan
+
+
+def test_variant_targets_from_one_join(spark, duck, tmp_path, monkeypatch):
+    # one shuffle of the table for either side, two of the join, one by name, all with partitions by the table's rows
+    assert spread_result(spark, duck, tmp_path, monkeypatch, "variant_targets") == [len(PAIRS) // 4] * 5
