@@ -130,22 +130,32 @@ def select_variants(
     for block quantisation. Ties go to the smaller penalty, the smaller alignment, then the first. With a tier, only variants
     of that tier.intent are compared, where the tensor has any.
     """
-    rows = tensor_variants(tensors, variants)
-    penalty = F.coalesce(mapped(F.col("encoding"), PENALTIES), F.lit(0))
-    base = F.coalesce(mapped(F.col("target"), base_scores(mode, cpu, gpu)), F.lit(0))
-    intent = unique_value(F.col("extra"), "tier.intent")
-    rows = rows.withColumns({
-        "penalty": penalty, "score": base - F.when(F.col("alignment") > max_alignment, 10_000).otherwise(0) - penalty, "tier_intent": intent,
-        "tier_class": unique_value(F.col("extra"), "tier.class"),
-    })
-    if tier is not None:
-        if tier not in TIERS:
+    return select_variants_cases(tensors, variants, [(mode, cpu, gpu, tier)], max_alignment).drop("case", "mode")
+
+
+def select_variants_cases(
+    tensors: DataFrame, variants: DataFrame, cases: list[tuple[str, set[str], str | None, str | None]], max_alignment: int = 1 << 30, parts: int | None = None
+) -> DataFrame:
+    """case (its place in the list), mode and the columns of select_variants() for each (mode, cpu, gpu, tier), from one join and one grouping."""
+    for *_, tier in cases:
+        if tier is not None and tier not in TIERS:
             raise ValueError(f"unknown tier {tier}")
-        fits = F.coalesce(F.col("tier_intent") == tier, F.lit(False))
-        rows = rows.withColumn("fits", fits).withColumn("any", F.max("fits").over(Window.partitionBy("name"))).where("fits = any")
-    facts = ["variant_index", "target", "encoding", "tier_intent", "tier_class", "score"]
-    best = rows.groupBy("name").agg(F.min_by(F.struct(*facts), F.struct(-F.col("score"), "penalty", "alignment", "place")).alias("b"))
-    return best.select("name", "b.*")
+    x = F.col("extra")
+    rows = tensor_variants(tensors, variants, parts=parts).select(
+        "name", "place", "variant_index", "target", "encoding", "alignment", unique_value(x, "tier.intent").alias("tier_intent"), unique_value(x, "tier.class").alias("tier_class"))
+    penalty = F.coalesce(mapped(F.col("encoding"), PENALTIES), F.lit(0))
+    over = F.when(F.col("alignment") > max_alignment, 10_000).otherwise(0)
+    facts = ["variant_index", "target", "encoding", "tier_intent", "tier_class"]
+
+    def best(mode: str, cpu: set[str], gpu: str | None, tier: str | None) -> Column:
+        score = F.coalesce(mapped(F.col("target"), base_scores(mode, cpu, gpu)), F.lit(0)) - over - penalty
+        # variants of the tier come before all others, so that these count only where there are none
+        misses = F.lit(0) if tier is None else F.when(F.col("tier_intent") == tier, 0).otherwise(1)
+        return F.min_by(F.struct(*facts, score.alias("score")), F.struct(misses, -score, penalty, F.col("alignment"), F.col("place")))
+
+    found = _by_name(rows, parts).agg(*(best(*case).alias(f"b{i}") for i, case in enumerate(cases)))
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("case"), F.lit(case[0]).alias("mode"), F.col(f"b{i}").alias("b")) for i, case in enumerate(cases)))).alias("c")
+    return found.select("name", each).select("c.case", "c.mode", "name", "c.b.*")
 
 
 def inspect(tensors: DataFrame, variants: DataFrame, sections: DataFrame, graphs: DataFrame, assets: DataFrame) -> DataFrame:

@@ -114,3 +114,8 @@ def spread_result(spark, duck, path, monkeypatch, name):
 def test_variant_targets_from_one_join(spark, duck, tmp_path, monkeypatch):
     # one shuffle of the table for either side, two of the join, one by name, all with partitions by the table's rows
     assert spread_result(spark, duck, tmp_path, monkeypatch, "variant_targets") == [len(PAIRS) // 4] * 5
+
+
+def test_modes_from_one_join(spark, duck, tmp_path, monkeypatch):
+    # three modes take no more shuffles than one
+    assert spread_result(spark, duck, tmp_path, monkeypatch, "select_variants_modes") == [len(PAIRS) // 4] * 5
