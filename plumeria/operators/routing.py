@@ -145,3 +145,34 @@ def causal_attention(tokens: DataFrame, groups: int = 1) -> DataFrame:
     total = F.aggregate("w", F.lit(0.0), lambda a, v: a + v)
     y = F.aggregate(F.slice(scaled, 2, 1 << 30), F.get(scaled, 0), lambda a, p: F.zip_with(a, p, lambda x, z: x + z))
     return seen.select("seq", "pos", "head", let(total, lambda t: F.transform(y, lambda x: x / t)).alias("y"))
+
+
+def _sum(x: Column) -> Column:
+    """The sum of an array's numbers without its nulls; null where there is none."""
+    return F.aggregate(x, F.lit(None).cast("double"), lambda a, v: F.coalesce(a + v, a, v))
+
+
+def sequence_attention(tokens: DataFrame, width: int, groups: int = 1, parts: int | None = None) -> DataFrame:
+    """seq, pos, head, i, y of tokens (seq, pos, x array): causal attention of heads that are runs of ``width`` elements, in one shuffle by sequence.
+
+    Query head h reads the elements of head h div groups as keys and values. A token that comes twice counts as the sum of
+    its rows; elements that a shorter vector lacks, and null ones, add nothing. One sequence is one row. ``parts`` is the
+    number of partitions; the work is large beside the bytes that Spark goes by.
+    """
+    tokens = tokens.where("seq is not null and pos is not null and size(x) > 0").select("seq", "pos", F.col("x").cast("array<double>").alias("x"))
+    one = lambda xs: F.aggregate(F.slice(xs, 2, 1 << 30), F.get(xs, 0), lambda a, x: F.zip_with(a, x, lambda v, w: F.coalesce(v + w, v, w)))
+    dealt = tokens.repartition("seq") if parts is None else tokens.repartition(parts, "seq")
+    placed = dealt.groupBy("seq", "pos").agg(F.collect_list("x").alias("xs")).select("seq", "pos", one(F.col("xs")).alias("x"))
+    rows = placed.groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("own"))
+    rows = rows.withColumn("heads", F.sequence(F.lit(0), F.ceil(F.array_max(F.transform("own", lambda r: F.size(r["x"]))) / width).cast("int") - F.lit(1)))
+    part = lambda x, h: F.slice(x, h * width + 1, F.lit(width))
+    rows = rows.select("seq", "own", F.explode("heads").alias("head"))
+    cut = lambda head: F.filter(F.transform("own", lambda r: F.struct(r["pos"].alias("pos"), part(r["x"], head).alias("x"))), lambda r: F.size(r["x"]) > 0)
+    rows = rows.select("seq", "head", F.explode(cut(F.col("head"))).alias("own"), cut(F.floor(F.col("head") / groups).cast("int")).alias("keys"))
+    rows = rows.withColumn("pos", F.col("own.pos")).withColumn("q", F.col("own.x"))
+    rows = rows.withColumn("kv", F.filter("keys", lambda r: r["pos"] <= F.col("pos"))).where(F.size("kv") > 0)
+    rows = rows.withColumn("s", F.transform("kv", lambda r: _sum(F.zip_with("q", r["x"], lambda a, b: a * b)) / F.sqrt(F.lit(float(width)))))
+    rows = rows.withColumn("m", F.array_max("s")).withColumn("w", F.transform("s", lambda v: F.exp(v - F.col("m")))).withColumn("t", _sum(F.col("w")))
+    most = F.array_max(F.transform("kv", lambda r: F.size(r["x"])))
+    at = lambda i: _sum(F.zip_with("kv", "w", lambda r, w: F.get(r["x"], i) * w / F.col("t")))
+    return rows.select("seq", "pos", "head", F.posexplode(F.transform(F.sequence(F.lit(0), most - 1), at)).alias("i", "y"))

@@ -119,3 +119,18 @@ def test_variant_targets_from_one_join(spark, duck, tmp_path, monkeypatch):
 def test_modes_from_one_join(spark, duck, tmp_path, monkeypatch):
     # three modes take no more shuffles than one
     assert spread_result(spark, duck, tmp_path, monkeypatch, "select_variants_modes") == [len(PAIRS) // 4] * 5
+
+
+@pytest.mark.parametrize("name", ["gqa_attention_tokens"])
+def test_attention_of_odd_vectors_in_one_shuffle(spark, duck, tmp_path, name):
+    # cut, empty, null, wide and repeated vectors, null elements, a whole head of nulls, and gaps between tokens
+    vector = lambda k, n: [((k * 7 + i * 5) % 23 - 11) / 7 for i in range(n)]
+    rows = [(k, 0, vector(k, 64)) for k in (0, 1, 3, 15, 16, 40)] + [(2, 0, vector(2, 60)), (4, 0, vector(4, 3)), (5, 0, []), (6, 0, None), (7, 0, vector(7, 128)), (3, 0, vector(9, 64)), (3, 0, vector(5, 20))]
+    rows += [(8, 0, [None] * 8 + vector(8, 56)), (9, 0, vector(8, 5) + [None, 1.0, None] + vector(3, 56)), (33, 0, [None] * 10), (None, 0, vector(1, 64))]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    c = duck.cursor()
+    c.execute(f"create temp view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    df = QUERIES[name](spark, str(tmp_path))
+    assert len(exchanges(df)) == 1
+    got, want = (sorted(map(repr, x)) for x in ([tuple(r[c] for c in ("seq", "pos", "head", "i", "y")) for r in df.collect()], c.execute(f"select seq, pos, head, i, y from ({ORACLE[name]})").fetchall()))
+    assert [r.replace("-0.0)", "0.0)") for r in got] == [r.replace("-0.0)", "0.0)") for r in want] and len(want) > 700
