@@ -121,7 +121,7 @@ def test_modes_from_one_join(spark, duck, tmp_path, monkeypatch):
     assert spread_result(spark, duck, tmp_path, monkeypatch, "select_variants_modes") == [len(PAIRS) // 4] * 5
 
 
-@pytest.mark.parametrize("name", ["gqa_attention_tokens"])
+@pytest.mark.parametrize("name", ["causal_attention_heads", "gqa_attention_tokens"])
 def test_attention_of_odd_vectors_in_one_shuffle(spark, duck, tmp_path, name):
     # cut, empty, null, wide and repeated vectors, null elements, a whole head of nulls, and gaps between tokens
     vector = lambda k, n: [((k * 7 + i * 5) % 23 - 11) / 7 for i in range(n)]
