@@ -12,7 +12,8 @@ their anchor's hash. The plan, with texts shuffled twice by document and nothing
 3. A bucket builds the Burrows-Wheeler transform of its collection of fragments with common prefixes, column by column:
    each round inserts one symbol of every fragment, reading the transform and the prefix lengths of the round before
    from a sequential file in blocks and writing the next. The two files are scratch of one task attempt and hold nothing
-   that another needs. Runs of prefixes >= k are equal windows; their smallest document decides.
+   that another needs. Runs of prefixes >= k are equal windows; their smallest document decides. Of a fragment only the
+   windows near whose anchor another fragment agrees take part: others have no equal.
 4. The removed ranges go back to their documents, which are cut.
 """
 
@@ -37,8 +38,10 @@ POS_BITS = 24
 FLUSH = 16 << 20
 #: Symbols of one collection, about; all strings of one anchor are in one.
 COLLECTION = 200_000
-#: Entries of the transform in memory at a time.
+#: Entries of the transform in memory at a time, at most 1 << 16.
 BLOCK = 1 << 16
+#: Where each symbol begins among keys of a symbol and 16 bits.
+EDGES = np.arange(257, dtype=np.uint32) << np.uint32(16)
 #: Anchors with this many places are cut into windows; one in SAMPLE rows estimates them.
 HOT, SAMPLE = 200_000, 32
 
@@ -291,11 +294,12 @@ def _send_fragments(k: int, m: int, parts: int, hot: np.ndarray):
 
 
 def _symbol(x: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(x.view(np.uint8)[7::8])
+    return np.ascontiguousarray(x.view(np.uint8)[2::4])
 
 
 def _prefix(x: np.ndarray) -> np.ndarray:
-    return ((x >> U(44)).astype(np.uint16) & np.uint16(0xFFF)).view(np.int16)
+    """The prefix lengths of entries, with one place more."""
+    return np.append(x.view(np.int16)[::2], np.int16(0x7FFF))
 
 
 def _blocks(file, size: int) -> Iterator[np.ndarray]:
@@ -303,91 +307,119 @@ def _blocks(file, size: int) -> Iterator[np.ndarray]:
     file.seek(0)
     at = 0
     while at < size:
-        block = np.fromfile(file, U, min(BLOCK, size - at))
+        block = np.fromfile(file, np.uint32, min(BLOCK, size - at))
         yield block
         at += len(block)
 
 
-def collection_bwt(text: np.ndarray, ends: np.ndarray, files: list) -> Iterator[tuple[np.ndarray, ...]]:
+class Runs:
+    """Runs of equal symbols in a block of the transform, also in the order of their symbols.
+
+    Strings with one anchor are much alike, so runs are long; occurrences of a symbol are counted and found by its runs.
+    """
+
+    def __init__(self, block: np.ndarray) -> None:
+        symbol = _symbol(block)
+        self.start = np.flatnonzero(np.concatenate([[True], symbol[1:] != symbol[:-1]]))
+        self.end = np.append(self.start[1:], len(block))
+        key = (symbol[self.start].astype(np.uint32) << np.uint32(16)) | np.arange(len(self.start), dtype=np.uint32)
+        key.sort()
+        self.order = (key & np.uint32(0xFFFF)).astype(np.int64)
+        self.rank = np.empty(len(key), np.int64)
+        self.rank[self.order] = np.arange(len(key))
+        #: The first run of each symbol in that order, and the entries before each run.
+        self.first = np.searchsorted(key, EDGES)
+        self.before = np.concatenate([[0], np.cumsum((self.end - self.start)[self.order])])
+        self.count = np.diff(self.before[self.first])
+
+
+def collection_bwt(text: np.ndarray, ends: np.ndarray, files: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """BWT and common prefix lengths of a collection of short strings, one inserted symbol for each string and round.
 
     text holds symbols >= 1; string i is text[ends[i-1]:ends[i]] and ends in a terminator of its own, below all symbols.
-    An entry holds its symbol (0: start of a string), its common prefix with the entry above, its suffix's length, each up
-    to 4095, and its string. Every round reads the transform of the round before from one of the two files in blocks, and
-    writes its own to the other; in memory are a block and one place for each string. Yields symbols, prefix lengths,
-    strings and suffix lengths of the last transform, block by block.
+    An entry holds its symbol (0: start of a string) and its common prefix with the entry above, up to 4095. Every round
+    reads the transform of the round before from one of the two files in blocks, and writes its own to the other; in memory
+    are a block and one place for each string. Yields symbols and prefix lengths of the last transform, block by block.
     """
     n = len(ends)
     length = np.diff(np.concatenate([[0], ends]))
-    place = np.arange(n)  # where each string's latest suffix stands
-    live = np.arange(n)
+    live = np.arange(n)  # strings that go on, by the place of their latest suffix
+    q = np.arange(n)  # these places
     closed = 0  # starts of strings, which are never extended
     here, there = files
     here.seek(0)
-    ((text[ends - 1].astype(U) << U(56)) | np.arange(n, dtype=U)).tofile(here)
+    (text[ends - 1].astype(np.uint32) << np.uint32(16)).tofile(here)
     size = n
-    total = np.bincount(text[ends - 1], minlength=257)
+    total = np.bincount(text[ends - 1], minlength=256)
     for t in range(1, int(length.max()) + 1):
-        by_place = live[np.argsort(place[live])]
-        q, c = place[by_place], text[ends[by_place] - t].astype(np.int64)
+        last = text[ends[live] - t]
+        c = last.astype(np.int64)
         below = np.cumsum(total) - total
         r, over, under = np.empty(len(q), np.int64), np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
         has_down = np.zeros(len(q), bool)
         # pass 1: ranks, and prefixes shared with the neighbouring occurrences of the symbol, whose extensions stand next to the new suffix
-        seen, carry, waits = np.zeros(257, np.int64), np.full(257, 0x7FFF), np.full(257, -1)
+        seen, carry, waits = np.zeros(256, np.int64), np.full(256, 0x7FFF), np.full(256, -1)
         at = lo = 0
         for block in _blocks(here, size):
             hi = int(np.searchsorted(q, at + len(block)))
-            symbol, prefix = _symbol(block), _prefix(block)
-            order = np.argsort(symbol, kind="stable")
-            count = np.bincount(symbol, minlength=257)
-            first = np.cumsum(count) - count
-            spot, own = np.empty(len(block), np.int32), np.flatnonzero(count)
-            spot[order] = np.arange(len(block), dtype=np.int32)
-            least = np.minimum.accumulate(prefix)
+            runs, prefix = Runs(block), _prefix(block)
             mine, sym = q[lo:hi] - at, c[lo:hi]
-            k = spot[mine]
-            r[lo:hi] = below[sym] + seen[sym] + k - first[sym]
-            up = k > first[sym]
-            down = k + 1 < first[sym] + count[sym]
-            padded = np.append(prefix, np.int16(0))
-            if up.any():
-                pair = np.stack([order[k[up] - 1] + 1, mine[up] + 1], axis=1).ravel()
-                over[lo:hi][up] = np.minimum.reduceat(padded, pair)[::2] + 1
-            far = ~up & (seen[sym] > 0)
-            over[lo:hi][far] = np.minimum(carry[sym[far]], least[mine[far]]) + 1
-            if down.any():
-                pair = np.stack([mine[down] + 1, order[k[down] + 1] + 1], axis=1).ravel()
-                under[lo:hi][down] = np.minimum.reduceat(padded, pair)[::2] + 1
-                has_down[lo:hi] = down
-            # symbols whose next occurrence was awaited have it here
-            met = own[waits[own] >= 0]
-            under[waits[met]] = np.minimum(carry[met], least[order[first[met]]]) + 1
-            has_down[waits[met]] = True
-            waits[met] = -1
-            waits[sym[~down]] = np.arange(lo, hi)[~down]
-            rest = np.append(np.minimum.accumulate(prefix[::-1])[::-1], np.int16(0x7FFF))
-            carry = np.minimum(carry, least[-1])
-            carry[own] = rest[order[first[own] + count[own] - 1] + 1]
-            seen += count
+            run = np.searchsorted(runs.start, mine, "right") - 1
+            start, rank = runs.start[run], runs.rank[run]
+            r[lo:hi] = (below + seen - runs.before[runs.first[:-1]])[sym] + runs.before[rank] + mine - start
+            # the neighbouring occurrence is in the same run, in another run of the symbol in this block, or not in this block
+            near = mine > start
+            far = ~near & (rank == runs.first[sym])
+            over[lo:hi] = prefix[mine] + 1
+            if len(edge := np.flatnonzero(~near & ~far)):
+                pair = np.stack([runs.end[runs.order[rank[edge] - 1]], mine[edge] + 1], axis=1).ravel()
+                over[lo + edge] = np.minimum.reduceat(prefix, pair)[::2] + 1
+            near = mine + 1 < runs.end[run]
+            awaited = ~near & (rank + 1 == runs.first[sym + 1])
+            under[lo:hi] = prefix[mine + 1] + 1
+            if len(edge := np.flatnonzero(~near & ~awaited)):
+                pair = np.stack([mine[edge] + 1, runs.start[runs.order[rank[edge] + 1]] + 1], axis=1).ravel()
+                under[lo + edge] = np.minimum.reduceat(prefix, pair)[::2] + 1
+            has_down[lo:hi] = ~awaited
+            if size > len(block):
+                own = np.flatnonzero(runs.count)
+                # least prefix down to each symbol's first occurrence, and after its last one
+                spot = runs.start[runs.order[runs.first[own]]]
+                by = np.argsort(spot)
+                least = np.zeros(256, np.int64)
+                least[own[by]] = np.minimum.accumulate(np.minimum.reduceat(prefix[: spot[by[-1]] + 1], np.append(0, spot[by[:-1]] + 1)))
+                spot = runs.end[runs.order[runs.first[own + 1] - 1]]
+                by = np.argsort(spot)
+                rest = np.minimum.accumulate(np.minimum.reduceat(prefix, spot[by])[::-1])[::-1]
+                over[lo:hi][far] = np.where(seen[sym[far]] > 0, np.minimum(carry[sym[far]], least[sym[far]]) + 1, 0)
+                # symbols whose next occurrence was awaited have it here
+                met = own[waits[own] >= 0]
+                under[waits[met]] = np.minimum(carry[met], least[met]) + 1
+                has_down[waits[met]] = True
+                waits[met] = -1
+                waits[sym[awaited]] = lo + np.flatnonzero(awaited)
+                carry = np.minimum(carry, prefix.min())
+                carry[own[by]] = rest
+                seen += runs.count
+            else:
+                over[lo:hi][far] = 0
             at, lo = at + len(block), hi
         # pass 2: terminators come first, then all suffixes by their first symbol, that is by the rank of that symbol
-        spot = n + r - closed
-        rank = np.argsort(spot)
-        lower = under[rank].astype(U) << U(44)
-        ended = (length[by_place] == t)[rank]
-        before = text[np.maximum(ends[by_place[rank]] - t - 1, 0)].astype(np.int64)
-        symbol = np.where(ended, 0, before)
-        entry = (symbol.astype(U) << U(56)) | (over[rank].astype(U) << U(44)) | (U(t) << U(32)) | by_place[rank].astype(U)
-        old = spot[rank] - np.arange(len(rank))  # the entry that each new one is put before
-        fix = has_down[rank] & (np.append(np.diff(spot[rank]), 0) != 1)
+        rank = np.argsort(last, kind="stable")
+        spot, live = (n + r - closed)[rank], live[rank]
+        lower = under[rank].astype(np.uint32)
+        ended = length[live] == t
+        symbol = np.where(ended, 0, text[np.maximum(ends[live] - t - 1, 0)])
+        entry = (symbol.astype(np.uint32) << np.uint32(16)) | over[rank].astype(np.uint32)
+        old = spot - np.arange(len(rank))  # the entry that each new one is put before
+        fix = has_down[rank] & (np.append(np.diff(spot), 0) != 1)
         there.seek(0)
         at = lo = 0
         for block in _blocks(here, size) if len(block) < size else [block]:
             hi = int(np.searchsorted(old, at + len(block))) if at + len(block) < size else len(old)
             mend = np.flatnonzero(fix[lo:hi] & (old[lo:hi] < size)) + lo
-            block[old[mend] - at] = (block[old[mend] - at] & ~U(0xFFF << 44)) | lower[mend]
-            fresh = np.empty(len(block) + hi - lo, U)
+            block[old[mend] - at] = (block[old[mend] - at] & np.uint32(0xFF0000)) | lower[mend]
+            fresh = np.empty(len(block) + hi - lo, np.uint32)
             mask = np.ones(len(fresh), bool)
             new = old[lo:hi] - at + np.arange(hi - lo)
             mask[new] = False
@@ -395,42 +427,104 @@ def collection_bwt(text: np.ndarray, ends: np.ndarray, files: list) -> Iterator[
             fresh[new] = entry[lo:hi]
             fresh.tofile(there)
             at, lo = at + len(block), hi
-        total += np.bincount(symbol, minlength=257)
+        total += np.bincount(symbol, minlength=256)
         closed += int(ended.sum())
         size += len(rank)
-        place[by_place] = spot
-        live = by_place[length[by_place] > t]
+        live, q = live[~ended], spot[~ended]
         here, there = there, here
     for block in _blocks(here, size):
-        yield _symbol(block), _prefix(block), (block & U(0xFFFFFFFF)).astype(np.int64), ((block >> U(32)) & U(0xFFF)).astype(np.int64)
+        yield _symbol(block), _prefix(block)[:-1]
+
+
+def suffix_places(symbols: tuple[np.ndarray, ...], ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The string and the length of the suffix at each place of a transform in blocks; length 0 for those below ``least``.
+
+    A string is read off backwards from its terminator: an entry's extension by its symbol stands at that symbol's rank.
+    """
+    n, size = len(ends), sum(map(len, symbols))
+    total = sum(np.bincount(s, minlength=256) for s in symbols)
+    seen = np.cumsum(total) - total + n - total[0]
+    to = np.empty(size, np.int32 if size < 1 << 31 else np.int64)
+    at = 0
+    for s in symbols:
+        order = np.argsort(s, kind="stable")
+        count = np.bincount(s, minlength=256)
+        to[at + order] = np.repeat(seen - (np.cumsum(count) - count), count) + np.arange(len(s))
+        seen += count
+        at += len(s)
+    owner, left = np.zeros(size, np.int32 if n < 1 << 31 else np.int64), np.zeros(size, np.int16)
+    length = np.diff(np.concatenate([[0], ends]))
+    live = place = np.arange(n)
+    for t in range(1, int(length.max()) + 1):
+        place = to[place]
+        if t >= least:
+            owner[place], left[place] = live, t
+        on = length[live] > t
+        live, place = live[on], place[on]
+    return owner, left
 
 
-def equal_windows(text: np.ndarray, ends: np.ndarray, doc: np.ndarray, anchor: np.ndarray, k: int, files: list) -> np.ndarray:
+def common_parts(text: np.ndarray, ends: np.ndarray, anchor: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of each string's windows that another string may have too; both are equal where there are none.
+
+    Windows fall into five classes by where the anchor stands in them. Equal windows are of one class and agree in the bytes
+    around the anchor that all windows of the class hold; a string keeps its windows from the first to the last class in
+    which another string agrees. Strings without their anchor (single windows of hot ones) stay whole.
+    """
+    start = np.concatenate([[0], ends[:-1]])
+    sums = np.zeros(len(text) + 1, U)
+    np.cumsum((text.astype(U) + U(1)) * powers(BASE, len(text)), out=sums[1:])
+    back = powers(BASE_INV, len(text))
+    string = np.repeat(np.arange(len(ends)), ends - start)[: len(text) - m + 1]
+    hit = np.flatnonzero(mix((sums[m:] - sums[:-m]) * back[: len(string)]) == anchor[string])
+    hit = hit[hit + m <= ends[string[hit]]]
+    new = np.ones(len(hit), bool)
+    new[1:] = string[hit[1:]] != string[hit[:-1]]
+    at = hit[new]  # a string's first occurrence is its anchor
+    own = string[at]
+    first, last = start.copy(), ends.copy()
+    first[own], last[own] = ends[own], start[own]
+    step = -(-(k - m + 1) // 5)
+    for before in range(0, k - m + 1, step):
+        after = max(0, k - m - before - step + 1)
+        x = np.flatnonzero((at - before >= start[own]) & (at + m + after <= ends[own]))
+        s, e = at[x] - before, at[x] + m + after
+        _, which, count = np.unique((sums[e] - sums[s]) * back[s], return_inverse=True, return_counts=True)
+        x = x[count[which] > 1]
+        first[own[x]] = np.minimum(first[own[x]], at[x] - before - step + 1)
+        last[own[x]] = np.maximum(last[own[x]], at[x] - before + k)
+    first, last = np.maximum(first, start), np.minimum(last, ends)
+    return first, np.where(last - first < k, first, last)
+
+
+def equal_windows(text: np.ndarray, ends: np.ndarray, doc: np.ndarray, anchor: np.ndarray, k: int, m: int, files: list) -> np.ndarray:
     """For each position of the strings, the smallest document of any string with the k-byte window that starts there.
 
     Strings of one anchor form one collection with those of other anchors. A bucket's collections share two files.
     """
-    out = np.full(len(text), np.iinfo(np.int64).max)
-    order = np.argsort(anchor, kind="stable")
-    new = np.concatenate([[True], anchor[order][1:] != anchor[order][:-1]])
-    group = np.cumsum(new) - 1
     length = np.diff(np.concatenate([[0], ends]))
+    out = np.repeat(doc, length)
+    order = np.argsort(anchor, kind="stable")
+    group = np.cumsum(np.concatenate([[True], anchor[order][1:] != anchor[order][:-1]])) - 1
     # an anchor with one string shares its windows with no other string
-    alone = np.bincount(group)[group] == 1
-    lone = order[alone]
-    out[np.repeat(ends[lone] - np.cumsum(length[lone]), length[lone]) + np.arange(length[lone].sum())] = np.repeat(doc[lone], length[lone])
-    order, group, new = order[~alone], group[~alone], new[~alone]
+    order = order[np.bincount(group)[group] > 1]
     if not len(order):
         return out
+    took = length[order]
+    stop = np.cumsum(took)
+    shift = ends[order] - stop
+    first, last = common_parts(text[np.repeat(shift, took) + np.arange(stop[-1])], stop, anchor[order], k, m)
+    some = last > first
+    order, first, took = order[some], (first + shift)[some], (last - first)[some]
+    if not len(order):
+        return out
+    new = np.concatenate([[True], anchor[order][1:] != anchor[order][:-1]])
     group = np.cumsum(new) - 1
-    filled = np.cumsum(length[order])
-    batch = (filled[np.flatnonzero(new)] - 1) // COLLECTION
+    batch = (np.cumsum(took) - took)[np.flatnonzero(new)] // -(-took.sum() // max(1, round(took.sum() / COLLECTION)))
     for _, s, e in runs_of(batch[group]):
-        sel = order[s:e]
-        took = length[sel]
-        stop = np.cumsum(took)
-        at = np.repeat(ends[sel] - stop, took) + np.arange(stop[-1])
-        out[at] = collection_windows(text[at], stop, doc[sel], k, files)
+        stop = np.cumsum(took[s:e])
+        at = np.repeat(first[s:e] + took[s:e] - stop, took[s:e]) + np.arange(stop[-1])
+        out[at] = np.minimum(out[at], collection_windows(text[at], stop, doc[order[s:e]], k, files))
     return out
 
 
@@ -439,17 +533,20 @@ def collection_windows(text: np.ndarray, ends: np.ndarray, doc: np.ndarray, k: i
     used = np.unique(text)
     code = np.zeros(256, np.uint8)
     code[used] = np.arange(1, len(used) + 1)
-    found = [(prefix[full] < k, owner[full], left[full]) for _, prefix, owner, left in collection_bwt(code[text], ends, files) if len(full := np.flatnonzero(left >= k))]
+    symbols, new = zip(*((symbol, prefix < k) for symbol, prefix in collection_bwt(code[text], ends, files)), strict=True)
+    owner, left = suffix_places(symbols, ends, k)
     out = np.full(len(text), np.iinfo(np.int64).max)
-    if found:
-        new, owner, left = (np.concatenate(x) for x in zip(*found, strict=True))
+    full = np.flatnonzero(left)
+    if len(full):
+        new = np.concatenate(new)[full]
         new[0] = True
+        owner = owner[full]
         least = np.minimum.reduceat(doc[owner], np.flatnonzero(new))
-        out[ends[owner] - left] = least[np.cumsum(new) - 1]
+        out[ends[owner] - left[full]] = least[np.cumsum(new) - 1]
     return out
 
 
-def _ranges(k: int, parts: int):
+def _ranges(k: int, m: int, parts: int):
     """One bucket of fragments: the ranges to remove, for each home."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -485,7 +582,7 @@ def _ranges(k: int, parts: int):
                 ends = np.cumsum(took)
                 flat = text[np.repeat(start[pick] - (ends - took), took) + np.arange(ends[-1])]
                 with tempfile.TemporaryFile() as one, tempfile.TemporaryFile() as two:
-                    windows = equal_windows(flat, ends, least, anchor[sel][pick], k, [one, two])
+                    windows = equal_windows(flat, ends, least, anchor[sel][pick], k, m, [one, two])
                 count = length - k + 1
                 step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 gone = windows[np.repeat((ends - took)[inverse], count) + step] < np.repeat(doc, count)
@@ -598,7 +695,7 @@ def dedup_passages(
 
     packed = shared.withColumn("kind", F.lit(0)).unionByName(plain.mapInArrow(trimmed(send_texts(parts)), "home int, data binary").withColumn("kind", F.lit(1)))
     fragments = packed.repartitionById(parts, "home").sortWithinPartitions("kind").mapInArrow(trimmed(_send_fragments(k, anchor, parts, often)), "bucket int, data binary")
-    ranges = fragments.repartitionById(parts, "bucket").mapInArrow(trimmed(_ranges(k, parts)), "home int, data binary")
+    ranges = fragments.repartitionById(parts, "bucket").mapInArrow(trimmed(_ranges(k, anchor, parts)), "home int, data binary")
     ranges = written(ranges, "ranges")
     schema = T.StructType([f for f in renamed.schema.fields if f.name in names])
     for f in ("n_bytes", "n_removed", "n_spans"):

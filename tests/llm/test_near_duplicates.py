@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from plumeria.llm import passages
 from plumeria.llm.components import connected_components
 from plumeria.llm.mixing import mix_sources
 from plumeria.llm.ngram_join import Parts, divide_skip, ngram_jaccard_join
@@ -169,6 +170,65 @@ def test_passages_of_any_length_and_hot_anchors(spark, k, anchor, hot, sample):
     assert got == {d: (*x[:3], brute.sha256(x[3])) for d, x in want.items()} and sum(x[1] for x in got.values())
 
 
+def alike_strings(seed, k, m):
+    """Strings of up to 2k-m bytes around few anchors, with context in common on either side, and their anchors' hashes."""
+    r = random.Random(seed)
+    letters, strings, anchors = b"abcde", [], []
+    for _ in range(12):
+        base = bytes(r.choice(letters) for _ in range(2 * k - m))
+        for _ in range(r.randrange(1, 9)):
+            s = bytearray(base)
+            for _ in range(r.choice([0, 1, 1, 2]) if k > m else 0):
+                i = r.choice([r.randrange(k - m), r.randrange(k, 2 * k - m)])
+                s[i] = r.choice(letters)
+            lo, hi = r.randrange(k - m + 1), r.randrange(k, 2 * k - m + 1)
+            lo = max(0, min(lo, hi - k))
+            strings.append(bytes(s[lo:hi]))
+            anchors.append(base[k - m : k])
+    text = np.frombuffer(b"".join(strings), np.uint8)
+    ends = np.cumsum([len(s) for s in strings])
+    hashes = {a: passages.mix(np.array([sum((x + 1) * pow(passages.BASE, i, 1 << 64) for i, x in enumerate(a)) % (1 << 64)], U))[0] for a in anchors}
+    return strings, text, ends, np.array([hashes[a] for a in anchors], U)
+
+
+@pytest.mark.parametrize("k,m,block", [(50, 18, 1 << 16), (50, 18, 100), (12, 5, 37), (20, 20, 64), (300, 18, 500)])
+def test_equal_windows_equal_a_dictionary(monkeypatch, k, m, block):
+    import tempfile
+
+    monkeypatch.setattr(passages, "BLOCK", block)
+    monkeypatch.setattr(passages, "COLLECTION", 2000)
+    for seed in range(4):
+        strings, text, ends, anchor = alike_strings(seed, k, m)
+        doc = np.random.default_rng(seed).permutation(len(strings)) + 5
+        least = {}
+        for s, d, a in zip(strings, doc, anchor):
+            for i in range(len(s) - k + 1):
+                w = (a, s[i : i + k])
+                least[w] = min(d, least.get(w, d))
+        with tempfile.TemporaryFile() as one, tempfile.TemporaryFile() as two:
+            got = passages.equal_windows(text, ends, doc, anchor, k, m, [one, two])
+            whole = passages.collection_windows(text, ends, doc, k, [one, two])
+        for s, e, a in zip(strings, ends, anchor):
+            for i in range(len(s) - k + 1):
+                assert got[e - len(s) + i] == least[a, s[i : i + k]]
+                assert whole[e - len(s) + i] == min(least[b, s[i : i + k]] for b in set(anchor.tolist()) if (b, s[i : i + k]) in least)
+
+
+def test_transforms_hold_only_what_may_be_equal(monkeypatch):
+    """Fragments that share their anchor and 10 bytes at each side have no equal window of 50 bytes; they cost no rounds."""
+    r = random.Random(1)
+    middle = bytes(r.choice(b"abcdefgh") for _ in range(38))
+    strings = [bytes(r.choice(b"pqrs") for _ in range(22)) + middle + bytes(r.choice(b"tuvw") for _ in range(22)) for _ in range(50)]
+    strings += [b"p" * 22 + middle + b"t" * 22, b"q" * 22 + middle + b"t" * 22]  # the right half is equal
+    anchor = passages.mix(np.array([sum((x + 1) * pow(passages.BASE, i, 1 << 64) for i, x in enumerate(middle[10:28])) % (1 << 64)], U))
+    text, ends = np.frombuffer(b"".join(strings), np.uint8), np.cumsum([len(s) for s in strings])
+    first, last = passages.common_parts(text, ends, np.repeat(anchor, len(strings)), 50, 18)
+    assert [i for i, n in enumerate(last - first) if n] == [50, 51]
+    for i in (50, 51):
+        s = text[first[i] : last[i]].tobytes()
+        assert len(s) < 82 and middle + b"t" * 22 in s
+
+
 def test_passages_refuse_lengths_they_cannot_hold(spark):
     for k, anchor in ((2001, 18), (10, 18)):
         with pytest.raises(ValueError):
